@@ -430,7 +430,7 @@ def pipeline_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
 
     cfg = stages.Config(root=f"{scratch_dir(spark)}/root-{uuid.uuid4().hex}", run_ts=datetime.fromisoformat("2024-02-01T00:00:00+00:00"), dictionary=WORDS, max_fact_ratio=20)
     p = postings(spark, sf)
-    payload = F.struct(*(F.col(c).cast(tables.CANONICAL[c].dataType) if c in p.columns else F.lit(None).cast(tables.CANONICAL[c].dataType).alias(c) for c in tables.CANONICAL.fieldNames()))
+    payload = F.struct(*((F.col(c) if c in p.columns else F.lit(None)).cast(tables.CANONICAL[c].dataType).alias(c) for c in tables.CANONICAL.fieldNames()))
     meta = F.struct(F.lit("r1").alias("run_id"), "source", F.lit("q").alias("query"), F.lit(None).cast("string").alias("location"), F.col("ingested_at").alias("started_at"), F.lit("v1").alias("canonical_schema_version"))
     env = p.select(meta.alias("ingestion_metadata"), F.lit(None).cast("string").alias("raw_payload"), payload.alias("payload"), "ingestion_date", F.lit("tables").alias("source"), F.lit("r1").alias("run_id"))
     sinks.write_jsonl(env, cfg.path("bronze_jobs"), ("ingestion_date", "source", "run_id"))

@@ -7,6 +7,7 @@ a mark behind them or not, runs through the library's normaliser and model alone
 from __future__ import annotations
 
 import os
+from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
@@ -54,7 +55,7 @@ class WordEncoder:
         for c in need:
             if c.isalpha():
                 split[c] = (c,)
-            elif c and c[-1] in ".,;:!?" and c[:-1].isalpha():
+            elif c and c[-1] in ".,;:!?" and c[:-1].isalpha() and (c.isascii() or normalize("NFC", c[:-1]).lower().isalpha()):
                 split[c] = (c[:-1], c[-1])
         used = {p for ps in split.values() for p in ps}
         new = used - self.pieces.keys()

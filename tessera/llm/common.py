@@ -18,14 +18,14 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[tuple]]], schema: T.StructType) -> DataFrame:
-    """df through a function from some rows (about 8 MB, dicts) to output tuples. make() runs once a task and may hold caches."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[tuple]]], schema: T.StructType, mb: float = 8) -> DataFrame:
+    """df through a function from some rows (about mb MB, dicts) to output tuples. make() runs once a task and may hold caches."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            names, step = batch.schema.names, max(1, int(batch.num_rows * 8e6 // max(batch.nbytes, 1)))
+            names, step = batch.schema.names, max(1, int(batch.num_rows * mb * 1e6 // max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 rows = f([dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)])

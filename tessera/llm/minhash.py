@@ -30,8 +30,9 @@ SPACE[[32, *range(9, 14)]] = True
 BANDS, ROWS, BATCH = 30, 5, 30  # at a similarity of 0.8, no band is shared with probability (1 - 0.8**5)**30 = 7e-6
 MISS = 1e-6  # posterior below which a pair is given up
 PERCENT, SIZE = 80, 5
-LEADERS = 3  # rounds in which buckets are compared with one leader
-SMALL, BLOCK = 24, 400  # members of a bucket whose pairs are listed; members of a block beyond
+LEADERS = 2  # rounds in which buckets are compared with one leader
+SMALL, BLOCK = 24, 100  # members of a bucket whose pairs are listed; members of a home beyond
+MB = 3  # text that is made into sets at a time
 MAX_BROADCAST_IDS = 500_000  # identifiers (8 bytes each) up to which they travel to the texts
 MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
@@ -115,6 +116,11 @@ def survivors(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, miss: float
     return alive
 
 
+def digest(s: np.ndarray) -> int:
+    """The class of a set."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 SKETCH = T.StructType([*struct("n_shingles long, cls long").fields, T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
 
@@ -128,12 +134,11 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full]).view(np.int32).tolist() if full else []
             by = dict(zip(full, sig, strict=True))
-            cls = lambda s: int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-            return [(r["doc_id"], len(s), cls(s) if len(s) else None, by.get(i)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+            return [(r["doc_id"], len(s), digest(s) if len(s) else None, by.get(i)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
         return some
 
-    return map_batches(docs.select("doc_id", "text"), make, schema)
+    return map_batches(docs.select("doc_id", "text"), make, schema, MB)
 
 
 def bucket_table(reps: DataFrame) -> DataFrame:
@@ -158,33 +163,35 @@ def prune(pairs: DataFrame, reps: DataFrame, percent: int, miss: float) -> DataF
     return map_batches(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), make, struct("a long, b long"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs whose full sets have percent of their union in common. Only the texts of classes in a pair are read into sets."""
-    need = store(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(reps.select("cls", "rep"), "cls"), "need")
+def full_sets(classes: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The stored sets (cls, set: sorted 64-bit hashes) of some classes. Only their texts are read into sets."""
+    need = store(classes.distinct().join(reps.select("cls", "rep"), "cls"), "need")
     side = F.broadcast(need) if need.count() <= MAX_BROADCAST_IDS else need
     texts = docs.join(side, docs["doc_id"].eqNullSafe(side["rep"])).select("cls", "text")
 
     def make() -> Callable[[list[dict]], list[tuple]]:
         def some(rows: list[dict]) -> list[tuple]:
             sets = shingle_sets([r["text"] or "" for r in rows], size)
-            cls = lambda s: int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-            return [(r["cls"], s.tobytes()) for r, s in zip(rows, sets, strict=True) if len(s) and cls(s) == r["cls"]]
+            return [(r["cls"], s.tobytes()) for r, s in zip(rows, sets, strict=True) if len(s) and digest(s) == r["cls"]]
 
         return some
 
-    sets = map_batches(texts, make, struct("cls long, set binary")).dropDuplicates(["cls"])
-    sets = store(sets, "sets")
+    return store(map_batches(texts, make, struct("cls long, set binary"), MB).dropDuplicates(["cls"]), "sets")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs whose full sets have percent of their union in common."""
+    sets = full_sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), reps, docs, size)
     full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
 
     def check() -> Callable[[list[dict]], list[tuple]]:
         def some(rows: list[dict]) -> list[tuple]:
-            out = []
-            for r in rows:
-                x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    out.append((r["a"], r["b"]))
-            return out
+            return [(r["a"], r["b"]) for r in rows if similar(np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64), percent)]
 
         return some
 
@@ -198,14 +205,20 @@ def _label(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with the bucket's size."""
-    by = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"))
-    return members.join(by.where("low < high").select("key", "m"), "key")
-
-
-def _leader_pairs(members: DataFrame, seed: int) -> DataFrame:
-    """Each member with its bucket's leader, unless they are in one component."""
-    lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), "cls", "comp")).alias("lead"))
+    """Members of buckets that hold several components, with m, the bucket's size, most, its largest component, and mass, the sum of m
+    over a member's buckets: the middle of a group of near copies shares most buckets with most of them."""
+    by = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    by = by.groupBy("key").agg(F.sum("n").alias("m"), F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("most")).where("k > 1")
+    each = members.join(by.select("key", "m", "most"), "key")
+    return each.join(each.groupBy("cls").agg(F.sum("m").alias("mass")), "cls")
+
+
+def _leader_pairs(members: DataFrame, step: int) -> DataFrame:
+    """Each member with its bucket's leader, unless they are in one component. Leaders: the member of most mass; then that of most mass
+    outside the largest component; then any."""
+    may = members if step != 1 else members.where(F.col("comp") != F.col("most"))
+    rank = F.xxhash64("cls", F.lit(step)) if step > 1 else -F.col("mass")
+    lead = may.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "cls", "comp")).alias("lead"))
     met = members.join(lead, "key").where(F.col("comp") != F.col("lead.comp"))
     return met.select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
 
@@ -218,25 +231,47 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return other.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def _large_pairs(members: DataFrame, reps: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs across components in larger buckets that the signatures do not give up: blocks of members meet block by block."""
-    nb = F.ceil(F.col("m") / BLOCK).cast("int")
-    big = members.where(F.col("m") > SMALL).withColumn("nb", nb).withColumn("i", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    each = big.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "comp")
-
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key[1], key[2]
-        sig, out = np.stack(pdf["sig"].to_numpy()).astype(np.int32), []
-        cls, comp, own = pdf["cls"].to_numpy(), pdf["comp"].to_numpy(), pdf["i"].to_numpy()
-        right = np.flatnonzero(own == hi)
-        for x in np.flatnonzero(own == lo):
-            y = right[(comp[right] != comp[x]) & ((cls[right] > cls[x]) if lo == hi else True)]
-            if len(y):
-                y = y[survivors(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], percent, miss)]
-                out += [(min(int(cls[x]), int(cls[k])), max(int(cls[x]), int(cls[k]))) for k in y]
+def _large_links(members: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, size: int, miss: float) -> DataFrame:
+    """Links across components in larger buckets, found without listing pairs.
+
+    Every member has a home: a block of about BLOCK members of its largest bucket. Members outside a bucket's largest component visit the
+    homes of all that share a bucket with them, once each. In a home, visitors and residents of different components are compared by
+    signature and then by set, and a link makes their components one, so what follows from earlier links is not compared again."""
+    big = store(members.where(F.col("m") > SMALL), "large")
+    home = big.groupBy("cls", "comp").agg(F.max(F.struct("m", "key")).alias("h"))
+    blocks = F.ceil(F.col("h.m") / BLOCK).cast("long")
+    home = store(home.select("cls", "comp", F.col("h.key").alias("h"), F.pmod(F.xxhash64("cls"), blocks).alias("part")), "home")
+    homes = big.select("key", "cls").join(home.select("cls", "h", "part"), "cls").select("key", "h", "part").distinct()
+    visits = big.where(F.col("comp") != F.col("most")).select("key", "cls", "comp").join(homes, "key").select("cls", "comp", "h", "part").distinct()
+    about = full_sets(home.select("cls"), reps, docs, size).join(reps.select("cls", "sig"), "cls")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (n := up.get(c, c)) != c:
+                up[c] = c = up.get(n, n)
+            return c
+
+        out = []
+        if len(left) and len(right):
+            sig = np.stack(right["sig"].to_numpy()).astype(np.int32)
+            cls, comp = right["cls"].tolist(), right["comp"].tolist()
+            sets = [np.frombuffer(x, np.uint64) for x in right["set"]]
+            for a, ca, sa, xa in zip(left["cls_"].tolist(), left["comp_"].tolist(), left["sig_"], left["set_"], strict=True):
+                x, mine = np.frombuffer(xa, np.uint64), root(ca)
+                rows = np.array([k for k, c in enumerate(comp) if root(c) != mine], np.int64)
+                if len(rows):
+                    keep = survivors(np.broadcast_to(np.asarray(sa, np.int32), (len(rows), sig.shape[1])), sig[rows], percent, miss)
+                    for k in rows[keep].tolist():
+                        if root(comp[k]) != root(ca) and similar(x, sets[k], percent):
+                            up[root(comp[k])] = root(ca)
+                            out.append((a, cls[k]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return each.join(reps.select("cls", "sig"), "cls").groupBy("key", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
+    again = [F.col(c).alias(f"{c}_") for c in ("h", "part")]
+    come = visits.join(about, "cls").select(*again, *(F.col(c).alias(f"{c}_") for c in ("cls", "comp", "sig", "set")))
+    return come.groupBy("h_", "part_").cogroup(home.join(about, "cls").groupBy("h", "part")).applyInPandas(meet, "a long, b long")
 
 
 def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, miss: float = MISS) -> DataFrame:
@@ -258,11 +293,10 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, mi
             members = members.where("m > 2")  # a pair alone has been compared
         if members.isEmpty():
             break
-        if step < LEADERS:
-            pairs = prune(_leader_pairs(members, step), reps, percent, miss)
-        else:
-            pairs = prune(_small_pairs(members), reps, percent, miss).union(_large_pairs(members, reps, percent, miss)).distinct()
-        new = store(verify(store(pairs, "pairs"), reps, d, percent, size), "links")
+        listed = _leader_pairs(members, step) if step < LEADERS else _small_pairs(members)
+        new = store(verify(store(prune(listed, reps, percent, miss), "pairs"), reps, d, percent, size), "links")
+        if step == LEADERS:
+            new = new.union(store(_large_links(members, reps, d, percent, size, miss), "links"))
         links = new if links is None else links.union(new)
         comps = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     ids = reps.select("cls", "rep")

@@ -98,7 +98,8 @@ def candidate_pairs(codes: DataFrame, rotations: int = ROTATIONS, tables: int =
     first = F.lit(len(slots))
     for i in reversed(range(len(slots))):
         first = F.when(near[i], F.lit(i)).otherwise(first)
-    return own.join(asked, ["slot", "key"]).where((F.col("a") < F.col("b")) & (F.col("slot") == first)).select("a", "b")
+    # Exploded sides are larger than their tables' sizes tell, so they are merged and never broadcast.
+    return own.join(asked.hint("merge"), ["slot", "key"]).where((F.col("a") < F.col("b")) & (F.col("slot") == first)).select("a", "b")
 
 
 def verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:

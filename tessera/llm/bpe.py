@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_batches, struct
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-CHUNKS, PIECES, PAIRS = 500_000, 200_000, 1_000_000  # entries of a worker's caches
+CHUNKS, PIECES, PAIRS = 250_000, 100_000, 250_000  # entries of a worker's caches
 
 
 @lru_cache(2)
@@ -320,7 +320,7 @@ def encode_texts(df: DataFrame, text: str = "text", ranks: str = DEFAULT_RANKS,
 
         return some
 
-    return map_batches(df.select(*keep), make, schema)
+    return map_batches(df.select(*keep), make, schema, mb=3)
 
 
 def op3_bpe(documents: DataFrame) -> DataFrame:

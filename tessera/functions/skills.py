@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,5 +54,9 @@ def ngram_tokens(tokens: Column, n: int = 3) -> Column:
     runs = [tokens]
     for k in range(2, n + 1):
         starts = F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(tokens, i, k), " ")))
+        runs.append(F.transform(starts, _joined(tokens, k)))
     return F.concat(*runs)
+
+
+def _joined(tokens: Column, k: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_join(F.slice(tokens, i, k), " ")

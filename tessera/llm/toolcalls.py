@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import store
+from tessera.llm.common import fresh_dir, store
 
 #: A schema: for each argument its type and whether it must be there; other arguments are errors.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -47,22 +47,22 @@ def waves(links: DataFrame) -> DataFrame:
     nodes = links.select("conv_id", "call_id").distinct()
     known = nodes.select("conv_id", F.col("call_id").alias("needs"))
     edges = store(links.where("needs IS NOT NULL").select("conv_id", "call_id", "needs").distinct().join(known, ["conv_id", "needs"]), "edges")
-    done = store(nodes.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("wave", F.lit(0)), "wave")
-    new = done
-    parts = [done]
-    depth = 0
+    spark, folder, depth = links.sparkSession, fresh_dir(links.sparkSession, "waves"), 0
+
+    def kept(df: DataFrame) -> DataFrame:
+        """A wave in a folder of its own below that of all waves, so the result is one scan however many there are."""
+        df.write.parquet(f"{folder}/wave={depth}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/wave={depth}")
+
+    new = kept(nodes.join(edges, ["conv_id", "call_id"], "left_anti"))
     while not edges.isEmpty() and not new.isEmpty():
         depth += 1
         met = new.select("conv_id", F.col("call_id").alias("needs"))
         edges = store(edges.join(met.withColumn("met", F.lit(True)), ["conv_id", "needs"], "left").select("conv_id", "call_id", "needs", "met"), "edges")
         left = edges.where("met IS NULL").select("conv_id", "call_id", "needs")
-        new = store(edges.where("met").select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti").withColumn("wave", F.lit(depth)), "wave")
-        parts.append(new)
+        new = kept(edges.where("met").select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti"))
         edges = left
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return spark.read.schema(nodes.withColumn("wave", F.lit(0)).schema).parquet(folder)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -41,28 +41,48 @@ def _errors(args: Column, name: Column, schemas: Schemas) -> Column:
 
 
 def waves(links: DataFrame) -> DataFrame:
-    """Topological order: links (conv_id, call_id, needs: a call_id or null) to (conv_id, call_id, wave): 0 for calls that need nothing
-    that is there, else one more than the latest that they need. What stands on a cycle or behind one has none. A wave is a join of what
-    is left; its rounds are as many as the longest chain, and each ends in a stored table."""
-    nodes = links.select("conv_id", "call_id").distinct()
-    known = nodes.select("conv_id", F.col("call_id").alias("needs"))
-    edges = store(links.where("needs IS NOT NULL").select("conv_id", "call_id", "needs").distinct().join(known, ["conv_id", "needs"]), "edges")
-    spark, folder, depth = links.sparkSession, fresh_dir(links.sparkSession, "waves"), 0
-
-    def kept(df: DataFrame) -> DataFrame:
-        """A wave in a folder of its own below that of all waves, so the result is one scan however many there are."""
-        df.write.parquet(f"{folder}/wave={depth}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/wave={depth}")
-
-    new = kept(nodes.join(edges, ["conv_id", "call_id"], "left_anti"))
-    while not edges.isEmpty() and not new.isEmpty():
-        depth += 1
-        met = new.select("conv_id", F.col("call_id").alias("needs"))
-        edges = store(edges.join(met.withColumn("met", F.lit(True)), ["conv_id", "needs"], "left").select("conv_id", "call_id", "needs", "met"), "edges")
-        left = edges.where("met IS NULL").select("conv_id", "call_id", "needs")
-        new = kept(edges.where("met").select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti"))
-        edges = left
-    return spark.read.schema(nodes.withColumn("wave", F.lit(0)).schema).parquet(folder)
+    """Topological order: links (conv_id, call_id, turn, needs: a call_id or null), one row for each call, to (conv_id, call_id, turn, wave):
+    0 for calls that need nothing that is there, else one more than the one they need. What stands on a cycle or behind one has none.
+
+    Every call points to the one it needs, and each round points it to what that one points to, so the rounds are the logarithm of the longest
+    chain. A call is settled once it points beyond a chain's start; a round that settles none leaves only cycles and what is behind them."""
+    spark, folder, rounds = links.sparkSession, fresh_dir(links.sparkSession, "waves"), 0
+    known = links.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
+    to, steps = F.when(F.col("there"), F.col("needs")).alias("to"), F.when(F.col("there"), 1).otherwise(0).alias("steps")
+    calls = store(links.join(known, ["conv_id", "needs"], "left").select("conv_id", "call_id", "turn", to, steps), "calls")
+    done = calls.where("to IS NULL").select("conv_id", "call_id", "turn", F.col("steps").alias("wave"))
+
+    def settle(df: DataFrame) -> DataFrame:
+        """A round's calls in a folder of its own below that of all, so the result is one scan however many there are."""
+        df.write.parquet(f"{folder}/round={rounds}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/round={rounds}")
+
+    def settled() -> DataFrame:
+        return spark.read.schema(done.schema).parquet(folder).select(*done.columns)
+
+    new, calls = settle(done), calls.where("to IS NOT NULL")
+    while not calls.isEmpty() and not new.isEmpty():
+        rounds += 1
+        ends = settled().select("conv_id", F.col("call_id").alias("to"), F.lit(None).cast(calls.schema["to"].dataType).alias("far"), F.col("wave").alias("more"))
+        ends = ends.union(calls.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more")))
+        hop = calls.join(ends, ["conv_id", "to"]).select("conv_id", "call_id", "turn", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
+        calls = store(hop, "calls")
+        new = settle(calls.where("to IS NULL").select("conv_id", "call_id", "turn", F.col("steps").alias("wave")))
+        calls = calls.where("to IS NOT NULL")
+    return settled()
+
+
+def positions(order: DataFrame) -> DataFrame:
+    """order (conv_id, call_id, turn, wave) to (conv_id, call_id, wave, position): 1 for the first call of its conversation by wave, turn and
+    call_id. Calls are dealt by ranges of all four and ranked within these; what a conversation has in earlier ranges is added,
+    so a conversation of any length is spread over many tasks."""
+    by = ["conv_id", "wave", "turn", "call_id"]
+    dealt = store(order.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*by[1:]))
+    return dealt.withColumn("within", within).join(sizes, ["conv_id", "part"]).select("conv_id", "call_id", "wave", (F.col("before") + F.col("within")).alias("position"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -77,8 +97,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     r = results.groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     # A null never equals a null here: each unknown identifier stays by itself.
     both = c.join(r.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer")
-    order = waves(c.where("call_id IS NOT NULL AND conv_id IS NOT NULL").select("conv_id", "call_id", "c.needs"))
-    both = both.join(order, ["conv_id", "call_id"], "left")
+    # The order needs the identifiers alone, so only they go through its rounds.
+    order = waves(store(c.where("call_id IS NOT NULL AND conv_id IS NOT NULL").select("conv_id", "call_id", "c.turn", "c.needs"), "needs"))
+    both = both.join(positions(order), ["conv_id", "call_id"], "left")
     args = F.try_parse_json("c.arguments")
     object_ = F.when(_kind(args) == "OBJECT", args)
     there = F.col("n_calls").isNotNull()
@@ -96,14 +117,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     )
     status = F.when(there & F.col("n_results").isNotNull(), "linked").when(there, "no_result").otherwise("no_call")
     errors = F.when(there, F.array_join(_errors(object_, F.col("c.name"), schemas), ",")).otherwise(F.lit(""))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("wave", "turn", "call_id"))
-    rows = both.select(
-        "conv_id", "call_id", F.col("c.turn").alias("turn"), "wave", F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
+    return both.select(
+        "conv_id", "call_id", F.col("c.turn").alias("turn"), "wave", "position", F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).alias("n_results"), status.alias("status"), errors.alias("errors"), json.alias("message"),
     )
-    # The order needs the identifiers alone, so only they are ranked; a conversation's calls are one window.
-    ranks = rows.where("wave IS NOT NULL").select("conv_id", "call_id", place.alias("position"))
-    return rows.join(ranks, ["conv_id", "call_id"], "left")
 
 
 #: A user's turn, as the call of a tool that has it answered.

@@ -421,6 +421,17 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(c.where("turn > 9"), r.where("conv_id > 9"), schema).count() == 0
 
 
+def test_waves_of_long_chains_and_cycles(spark):
+    chain = [(1, f"c{i}", i, f"c{i - 1}" if i else None) for i in range(150)]
+    loop = [(2, "a", 0, "c"), (2, "b", 1, "a"), (2, "c", 2, "b"), (2, "tail", 3, "a"), (2, "self", 4, "self"), (2, "free", 5, "gone"), (2, "next", 6, "free")]
+    star = [(3, "hub", 9, None), *((3, f"s{i:03}", i % 7, "hub") for i in range(200))]
+    links = spark.createDataFrame([*chain, *loop, *star], "conv_id long, call_id string, turn long, needs string")
+    got = {(r["conv_id"], r["call_id"]): (r["wave"], r["position"]) for r in toolcalls.positions(toolcalls.waves(links)).collect()}
+    ranked = [(3, k) for _, k in sorted((t, k) for _, k, t, _ in star[1:])]
+    want = {(1, f"c{i}"): (i, i + 1) for i in range(150)} | {(2, "free"): (0, 1), (2, "next"): (1, 2), (3, "hub"): (0, 1)}
+    assert got == want | {k: (1, i + 2) for i, k in enumerate(ranked)}
+
+
 def test_tool_calls_from_odd_turns(spark):
     turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (1, 2, "user", None), (None, 0, "user", "x"), (2, None, "user", "y"), (3, 0, None, None), (4, 5, "assistant", "late" * 9000)]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, wave int")

@@ -235,14 +235,21 @@ def _large_links(members: DataFrame, reps: DataFrame, docs: DataFrame, percent:
     """Links across components in larger buckets, found without listing pairs.
 
     Every member has a home: a block of about BLOCK members of its largest bucket. Members outside a bucket's largest component visit the
-    homes of all that share a bucket with them, once each. In a home, visitors and residents of different components are compared by
+    homes of all that share a bucket with them, once each: where a bucket's members live in half the blocks of a home's bucket or more, all
+    of its blocks, so the buckets that lead there are merged before the blocks are told apart. In a home, visitors and residents of different components are compared by
     signature and then by set, and a link makes their components one, so what follows from earlier links is not compared again."""
     big = store(members.where(F.col("m") > SMALL), "large")
     home = big.groupBy("cls", "comp").agg(F.max(F.struct("m", "key")).alias("h"))
     blocks = F.ceil(F.col("h.m") / BLOCK).cast("long")
     home = store(home.select("cls", "comp", F.col("h.key").alias("h"), F.pmod(F.xxhash64("cls"), blocks).alias("part")), "home")
-    homes = big.select("key", "cls").join(home.select("cls", "h", "part"), "cls").select("key", "h", "part").distinct()
-    visits = big.where(F.col("comp") != F.col("most")).select("key", "cls", "comp").join(homes, "key").select("cls", "comp", "h", "part").distinct()
+    homes = store(big.select("key", "cls").join(home.select("cls", "h", "part"), "cls").select("key", "h", "part").distinct(), "homes")
+    parts = home.select("h", "part").distinct()
+    there, all_ = homes.groupBy("key", "h").agg(F.count("*").alias("n")), parts.groupBy("h").agg(F.count("*").alias("of"))
+    most = store(there.join(all_, "h").where(2 * F.col("n") >= F.col("of")).select("key", "h"), "most")
+    guests = big.where(F.col("comp") != F.col("most")).select("key", "cls", "comp")
+    whole = guests.join(most, "key").select("cls", "comp", "h").distinct().join(parts, "h").select("cls", "comp", "h", "part")
+    some = guests.join(homes.join(most, ["key", "h"], "left_anti"), "key").select("cls", "comp", "h", "part")
+    visits = whole.union(some).distinct()
     about = full_sets(home.select("cls"), reps, docs, size).join(reps.select("cls", "sig"), "cls")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

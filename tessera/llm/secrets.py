@@ -19,9 +19,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of hex digits matches whole or not at all, so the least length may stand in the pattern
 ASSIGN_VALUE, ACCESS_SIZE = 6, 20
 
-#: Strings whose letters and digits are mixed; UUIDs and digests are known identifiers and no secrets by themselves.
+#: Strings that may be random, whatever kinds of characters they have; UUIDs and digests are known identifiers and no secrets by themselves.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIXED = re.compile(r"(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.IGNORECASE)
 MAX_RATIO = 2.2
@@ -39,7 +38,7 @@ def random_spans(text: str, n_tokens: Callable[[str], int], taken: list[tuple[in
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not MIXED.match(s) or DIGEST.match(s) or UUID.match(s) or any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if DIGEST.match(s) or UUID.match(s) or any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
         if len(s) / n_tokens(s) < max_ratio:
             out.append((m.start(), m.end(), "random"))

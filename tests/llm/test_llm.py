@@ -133,6 +133,19 @@ def test_random_strings():
         assert secrets.render(secrets.base_spans(t)) == brute_base(t)
 
 
+def test_random_strings_of_few_kinds():
+    enc, rng = bpe.load_encoding(), random.Random(7)
+    find = lambda t: secrets.find_spans(t, lambda s: len(enc.encode_ordinary(s)))
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for kinds in (low + "0123456789", up + "234567", low + up):
+        for _ in range(100):
+            s = "".join(rng.choice(kinds) for _ in range(40))
+            spans = find(f"see {s} here")
+            assert [k for _, _, k in spans] == ["random"] and secrets.redact(f"see {s} here", spans) == "see [SECRET] here"
+    for fine in ("donaudampfschifffahrtsgesellschaft", "internationalization_configuration", "=" * 60, "550e8400-e29b-41d4-a716-446655440000", "D41D8CD98F00B204E9800998ECF8427E"):
+        assert find(fine) == []
+
+
 # 3 byte-level BPE
 
 

@@ -19,9 +19,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least doc_id stays, once."""
-    kept = minhash.near_documents(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies the document of least doc_id stays, once; null is the greatest doc_id, and of equal ones the text of
+    least MD5 stays.
+
+    A document is a doc_id with a text: rows that repeat both are one document, and rows that share a doc_id, or have none, but differ in
+    text are documents of their own, which go only if they are near copies. Null and empty texts are near copies of nothing."""
+    of = lambda d: F.md5(d["text"].cast("binary"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", of(docs).alias("print"))
+    kept = minhash.near_documents(docs.select(key.alias("doc_id"), "text")).where("kept")
+    kept = kept.select(F.col("doc_id.doc_id").alias("_kept"), F.col("doc_id.print").alias("_of")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_kept")) & of(docs).eqNullSafe(F.col("_of"))
+    return docs.join(kept, same, "left_semi").withColumn("_print", of(docs)).dropDuplicates(["doc_id", "_print"]).drop("_print")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

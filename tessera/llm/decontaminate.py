@@ -86,8 +86,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bro
         heads = spread.where("key IS NULL").select("row", "a", "pos", "key")
         ready = _slices(spread.where("key IS NOT NULL"), size)
         found = heads.select("row", F.lit(None).cast(dict(prefix.dtypes)["item_id"]).alias("item_id"), F.lit(0).alias("pos"), (F.size("a") - 1).alias("end"))
-        met = ready.join(prefix, "key").where(F.slice("around", F.col("size0") - F.col("off") + 1, F.size("w")) == F.col("w"))
+        # around begins with the document's head: a window that starts before its first word is not sliced, and one that ends behind its last differs.
         start = F.col("pos") - F.col("off")
+        same = F.when(start >= 1, F.slice("around", F.greatest(F.col("size0") - F.col("off"), F.lit(0)) + 1, F.size("w")) == F.col("w"))
+        met = ready.join(prefix, "key").where(same)
         return found.unionByName(met.select("row", "item_id", start.alias("pos"), (start + F.size("w")).alias("end")))
     start, n = F.col("pos") - F.col("off"), F.size("a") - 2
     fits = (start >= 1) & (start + F.size("w") - 1 <= n)

@@ -95,6 +95,17 @@ def test_decontaminate_shuffled_equals_broadcast(spark):
     assert sorted(map(repr, a)) == sorted(map(repr, b)) and any(r["contaminated"] for r in a)
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_decontaminate_documents_within_a_window(spark, most):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    w = text.split(" ")
+    rows = [(k, " ".join(w[k:])) for k in range(len(w))] + [(20 + k, " ".join(w[: 7 - k % 2])) for k in range(20)] + [(40, f"see {text} there"), (41, " ".join(w[:10])), (42, " ".join(w[3:]) + " end")]
+    items = [(1, text)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_broadcast=most)
+    want = brute_hits(rows, items)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()), key=repr) == want and sum(n > 0 for _, _, n, _ in want) == 4
+
+
 # 2 secrets
 
 

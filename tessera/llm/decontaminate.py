@@ -68,12 +68,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bro
     """docs (row: any columns in a struct, text) to one row for each of its heads (item null, end = number of words) and each occurrence
     of a window (item, pos: first word from 1, end: behind the last)."""
     w = store(_window_shingles(windows(benchmark, size)), "windows")
-    n_windows, single = w.select("item_id", "at").distinct().count(), not w.where(F.size("w") == 1).isEmpty()
+    n_windows, single = w.select("item_id", "at", "w").distinct().count(), not w.where(F.size("w") == 1).isEmpty()
     small = n_windows <= max_broadcast
     a = docs.select("row", words(F.col("text")).alias("a"))
     spread = _positions(a, single).select("key")
     counted = spread.join(_side(w.select("key").distinct(), small), "key").groupBy("key").agg(F.count("*").alias("df"))
-    rare = F.row_number().over(Window.partitionBy("item_id", "at").orderBy(F.coalesce("df", F.lit(0)), "off"))
+    rare = F.row_number().over(Window.partitionBy("item_id", "at", "w").orderBy(F.coalesce("df", F.lit(0)), "off"))
     prefix = w.join(counted, "key", "left").withColumn("rank", rare).where("rank = 1").select("key", "item_id", "off", "w")
     prefix = store(prefix, "prefix")
     if small:
@@ -108,7 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
     """docs (doc_id, text, ...) to doc_id, n_words, n_hit, items (the item_ids as strings, sorted), contaminated, and fingerprint.
 
     Rows with the same doc_id and the same text give one row (their result is the same); one doc_id with several texts gives a row for each.
-    A null text has no words; null item_ids and empty items match nothing; with no items no document is hit. Other columns are not read."""
+    An item_id with several texts stands for the windows of all of them. A null text has no words; null item_ids and empty items match nothing; with no items no document is hit. Other columns are not read."""
     bench = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
     row = F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("print"))
     hits = find_hits(docs.select(row.alias("row"), "text"), bench, size, max_broadcast)

@@ -106,6 +106,17 @@ def test_decontaminate_documents_within_a_window(spark, most):
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()), key=repr) == want and sum(n > 0 for _, _, n, _ in want) == 4
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_decontaminate_item_id_with_several_texts(spark, most):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(14)) for _ in range(3)]
+    items = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (2, texts[0])]
+    rows = [(k, f"see {t} there") for k, t in enumerate(texts)] + [(5, texts[0] + " and " + texts[1]), (6, "none of them")]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), max_broadcast=most)
+    want = brute_hits(rows, items)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()), key=repr) == want and [n for _, _, n, _ in want] == [14, 14, 14, 28, 0]
+
+
 # 2 secrets
 
 

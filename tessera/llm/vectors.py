@@ -3,6 +3,7 @@ rerank with the original vectors in double precision."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,13 +11,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, store, struct
+from tessera.llm.common import Cache, map_batches, store, struct
 from tessera.llm.components import components
 
 THRESHOLD = 0.95
 #: Rows from which the rotations are learned: those of least hash. All rows are coded and searched.
 MAX_SAMPLE = 20_000
 CODE_BITS, TABLES, ROTATIONS, ROUNDS = 64, 4, 2, 30
+#: Sampled vectors of one length from which rotations are learned; with fewer, their mean may be a near copy's middle, and random ones do.
+LEAST_LEARNED = 256
+#: Coders of other lengths that a task holds at a time.
+MAX_UNLEARNED = 32
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -72,25 +77,37 @@ def usable(vector: str) -> F.Column:
     return v.isNotNull() & ~F.coalesce(F.exists(v, bad), F.lit(True)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def learn(df: DataFrame, max_sample: int = MAX_SAMPLE, bits: int = CODE_BITS, rotations: int = ROTATIONS) -> Codes | None:
-    """The coder, from at most max_sample of df's vectors v; None without any."""
+def unlearned(dim: int, bits: int = CODE_BITS, rotations: int = ROTATIONS) -> Codes:
+    """The coder of a length that the sample tells too little of: random directions through the origin."""
+    return Codes(np.zeros(dim), [np.random.default_rng((seed, dim)).standard_normal((dim, bits)) for seed in range(rotations)])
+
+
+def learn(df: DataFrame, max_sample: int = MAX_SAMPLE, bits: int = CODE_BITS, rotations: int = ROTATIONS) -> dict[int, Codes] | None:
+    """The coders by vector length, from at most max_sample of df's vectors v, for lengths that have LEAST_LEARNED of these; None without any vector."""
     rows = df.select("v").orderBy(F.xxhash64("v"), "v").limit(max_sample).collect()
     if not rows:
         return None
-    _, x = units([r["v"] for r in rows])
-    return Codes(x.mean(0), [learn_rotation(x - x.mean(0), bits, seed) for seed in range(rotations)])
+    by_size = defaultdict(list)
+    for r in rows:
+        by_size[len(r["v"])].append(r["v"])
+    out = {}
+    for dim, some in by_size.items():
+        if len(some) >= LEAST_LEARNED:
+            _, x = units(some)
+            out[dim] = Codes(x.mean(0), [learn_rotation(x - x.mean(0), bits, seed) for seed in range(rotations)])
+    return out
 
 
 def candidate_pairs(codes: DataFrame, rotations: int = ROTATIONS, tables: int = TABLES) -> DataFrame:
-    """(a, b) of classes whose codes of some rotation have a part that differs in one bit at most, each once.
+    """(a, b) of classes of one vector length (dim) whose codes of some rotation have a part that differs in one bit at most, each once.
 
-    A code's parts are the keys of its tables. One side is put in under its own keys; the other asks for these and for all keys one bit
+    A code's parts, below the length, are the keys of its tables. One side is put in under its own keys; the other asks for these and for all keys one bit
     away. A pair is given in the first rotation and table that has it, so nothing needs to be made distinct."""
     part = CODE_BITS // tables
     mask = (1 << part) - 1
     piece = lambda c, t: F.shiftrightunsigned(c, t * part).bitwiseAND(F.lit(mask).cast("long"))
     slots = [(r, t) for r in range(rotations) for t in range(tables)]
-    own = codes.select("cls", "code", F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), piece(F.col("code")[r], t).alias("key")) for i, (r, t) in enumerate(slots)))).alias("s"))
+    own = codes.select("cls", "code", F.explode(F.array(*(F.struct(F.lit(i).alias("slot"), piece(F.col("code")[r], t).bitwiseOR(F.shiftleft("dim", part)).alias("key")) for i, (r, t) in enumerate(slots)))).alias("s"))
     own = own.select(F.col("cls").alias("a"), F.col("code").alias("ca"), "s.slot", "s.key")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(part)))
     asked = own.select(F.col("a").alias("b"), F.col("ca").alias("cb"), "slot", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
@@ -109,13 +126,15 @@ def verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
 
     def make() -> Callable[[list[dict]], list[tuple]]:
         def some(rows: list[dict]) -> list[tuple]:
-            ok = [len(r["va"]) == len(r["vb"]) for r in rows]
-            rows = [r for r, k in zip(rows, ok, strict=True) if k]
-            if not rows:
-                return []
-            x, y = np.array([r["va"] for r in rows], float), np.array([r["vb"] for r in rows], float)
-            cos = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            return [(r["a"], r["b"]) for r, c in zip(rows, cos.tolist(), strict=True) if c >= threshold]
+            out, by_size = [], defaultdict(list)
+            for r in rows:
+                if len(r["va"]) == len(r["vb"]):
+                    by_size[len(r["va"])].append(r)
+            for alike in by_size.values():
+                x, y = np.array([r["va"] for r in alike], float), np.array([r["vb"] for r in alike], float)
+                cos = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+                out += [(r["a"], r["b"]) for r, c in zip(alike, cos.tolist(), strict=True) if c >= threshold]
+            return out
 
         return some
 
@@ -127,33 +146,35 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, max_sample: int =
 
     Equal vectors are one class, known by its least vec_id; only classes are coded and compared, and a class's size stands for its
     members. Vectors that are null, zero, or hold null or non-finite components link with nothing. Rows that repeat a vec_id with the same
-    vector are links of each other like other copies; the dimensions of a link's ends are equal."""
+    vector are links of each other like other copies; the dimensions of a link's ends are equal, and vectors of each length are searched."""
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     good = rows.where(usable("v") & F.col("vec_id").isNotNull())
     classes = store(good.groupBy("v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")), "classes")
-    coder = learn(classes, max_sample)
+    coders = learn(classes, max_sample)
     lone = lambda d: d.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if coder is None:
+    if coders is None:
         return lone(rows)
 
     def make() -> Callable[[list[dict]], list[tuple]]:
-        dim = len(coder.mean)
+        others = Cache(unlearned, MAX_UNLEARNED)
 
         def some(some_rows: list[dict]) -> list[tuple]:
-            out = []
-            by_size = [r for r in some_rows if len(r["v"]) == dim]
-            if by_size:
-                _, x = units([r["v"] for r in by_size])
-                out = [(r["cls"], c) for r, c in zip(by_size, coder(x).tolist(), strict=True)]
+            out, by_size = [], defaultdict(list)
+            for r in some_rows:
+                by_size[len(r["v"])].append(r)
+            for dim, rows in by_size.items():
+                good, x = units([r["v"] for r in rows])
+                code = coders[dim] if dim in coders else others[dim]
+                out += [(r["cls"], dim, c) for r, c in zip([r for r, g in zip(rows, good, strict=True) if g], code(x).tolist(), strict=True)]
             return out
 
         return some
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("code", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("dim", T.LongType()), T.StructField("code", T.ArrayType(T.LongType()))])
     codes = store(map_batches(classes.select("cls", "v"), make, schema), "codes")
-    links = store(verify(candidate_pairs(codes, len(coder.rotations)), classes.select("cls", "v"), threshold), "pairs")
+    links = store(verify(candidate_pairs(codes), classes.select("cls", "v"), threshold), "pairs")
     size = classes.select("cls", "n")
     around = links.join(size.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("cls"), "n")
     around = around.union(links.join(size.withColumnRenamed("cls", "a"), "a").select(F.col("b").alias("cls"), "n"))

@@ -230,6 +230,24 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.where("vec_id = 702")).collect()[0]["component_id"] == 702
 
 
+def test_vectors_of_several_lengths(spark):
+    rng, rows = np.random.default_rng(6), []
+    for dim, n in ((64, 400), (96, 300), (24, 60), (8, 2)):
+        base = rng.standard_normal((n // 2, dim))
+        rows += [(len(rows) + k, (base[k % (n // 2)] + 0.1 * rng.standard_normal(dim) * (k >= n // 2)).tolist()) for k in range(n)]
+    rows += [(5000, rng.standard_normal(1000).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = by_id(vectors.near_vectors(df), "vec_id")
+    assert set(got) == {i for i, _ in rows} and got[5000]["n_links"] == 0
+    for dim in (64, 96, 24, 8):
+        ids, links = brute_vectors([r for r in rows if len(r[1]) == dim])
+        found = sum(got[i]["n_links"] for i in ids)
+        assert links and 0.95 * len(links) <= found <= len(links)
+    one = [r for r in rows if len(r[1]) == 64] + rows[-1:]
+    found = sum(r["n_links"] for r in vectors.near_vectors(spark.createDataFrame(one, "vec_id long, embedding array<double>")).collect())
+    assert found >= 0.95 * len(brute_vectors(one[:-1])[1]) > 0
+
+
 def test_vector_recall_on_the_table(spark):
     e = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("vec_id % 3 = 0")
     rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]

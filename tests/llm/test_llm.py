@@ -248,12 +248,55 @@ def test_vectors_of_several_lengths(spark):
     assert found >= 0.95 * len(brute_vectors(one[:-1])[1]) > 0
 
 
-def test_vector_recall_on_the_table(spark):
-    e = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").where("vec_id % 3 = 0")
-    rows = [(r["vec_id"], r["embedding"]) for r in e.collect()]
-    _, links = brute_vectors(rows)
-    found = sum(r["n_links"] for r in vectors.near_vectors(e).collect())
-    assert 0.9 * len(links) <= found <= len(links)
+def dense(seed, n_near, n_random, noise=0.1, dim=64):
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal(dim)
+    return [centre + noise * rng.standard_normal(dim) for _ in range(n_near)] + [rng.standard_normal(dim) for _ in range(n_random)]
+
+
+CASES = {
+    "one near group alone": dense(1, 300, 0), "with few others": dense(2, 300, 30), "with as many others": dense(3, 300, 300),
+    "with a longer vector": dense(4, 300, 300) + dense(5, 0, 1, dim=128), "scaled copies": [dense(6, 1, 0)[0] * k for k in (1, 2, 3, 0.5, 1e-3)],
+    "huge and tiny": [dense(7, 1, 0)[0] * k for k in (1e200, 1, 1e-200)], "around the threshold": dense(8, 400, 300, 0.23),
+    "chain": list(np.cumsum(np.random.default_rng(9).standard_normal((300, 64)), 0)), "two numbers": dense(10, 60, 60, 0.3, 2), "one number": dense(11, 9, 0, 0.1, 1),
+}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_vector_recall(spark, case):
+    rows = [(i, v.tolist()) for i, v in enumerate(CASES[case])]
+    got = by_id(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)), "vec_id")
+    want = dict.fromkeys(got, 0)
+    links = set()
+    for dim in {len(v) for _, v in rows}:
+        links |= brute_vectors([r for r in rows if len(r[1]) == dim])[1]
+    for a, _ in links:
+        want[a] += 1
+    assert 0.97 * len(links) <= sum(r["n_links"] for r in got.values()) and all(got[i]["n_links"] <= n for i, n in want.items())
+    label = {i: r["component_id"] for i, r in got.items()}
+    assert all(label[a] == label[b] for a, b in links) or case in ("around the threshold", "chain") and sum(label[a] == label[b] for a, b in links) >= 0.97 * len(links)
+
+
+def test_vectors_of_the_tables_with_planted_copies(spark):
+    """One dominant near group, copies at all distances, and the ids divisible by 100 against all rows."""
+    rng = np.random.default_rng(12)
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    size = max(i for i, _ in rows) + 1
+    planted = [(size + k, v + s * np.linalg.norm(v) / 8 * rng.standard_normal(64)) for k, ((_, v), s) in enumerate((r, rng.uniform(0, 0.5)) for r in rows[:600])]
+    hot = [(2 * size + k, rows[0][1] * rng.uniform(0.5, 2) + 0.05 * rng.standard_normal(64)) for k in range(1000)]
+    all_ = [(i, v.tolist()) for i, v in rows + planted + hot]
+    got = by_id(vectors.near_vectors(spark.createDataFrame(all_, "vec_id long, embedding array<double>").repartition(4)), "vec_id")
+    ids, links = brute_vectors(all_)
+    asked = sum(a % 100 == 0 for a, _ in links)
+    assert len(got) == len(all_) and asked > 50
+    assert 0.97 * asked <= sum(r["n_links"] for i, r in got.items() if i % 100 == 0) <= asked
+    assert 0.97 * len(links) <= sum(r["n_links"] for r in got.values()) <= len(links)
+
+
+def test_vectors_that_share_a_vec_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.02, 1.0]), (None, [1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r["vec_id"])
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
 
 
 def test_rotations_balance():
@@ -285,7 +328,7 @@ def brute_documents(rows, size=2, percent=80):
             index.setdefault(x, []).append(k)
     seen = set()
     for members in index.values():
-        for a, b in itertools.combinations(members, 2) if len(members) < 400 else ():
+        for a, b in itertools.combinations(members, 2):
             if (a, b) not in seen:
                 seen.add((a, b))
                 both = len(sets[a] & sets[b])
@@ -330,6 +373,20 @@ def test_minhash_edges(spark, odd, none):
     assert minhash.near_documents(none).count() == 0
 
 
+def test_long_words_and_repeated_sets(spark):
+    """Words that a weak hash confuses, texts of one set in different orders, and very long words."""
+    low, up = "a" * 5000, list("a" * 5000)
+    up[0], up[4096] = "d", "\x60"
+    a, b = [f"w{k}" for k in range(50)], "x" * 100_000
+    rows = [(1, low), (2, "".join(up)), (3, " ".join(a + a)), (4, " ".join(a + a + a)), (5, " ".join([*a[25:], *a, *a[:25]])), (6, b), (7, b + "y"), (8, b.upper())]
+    got = by_id(minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), size=2))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_documents(rows)
+    words = [bytes(random.Random(5).choices(b"abc \t", k=5000)), b"q" * 70 + b" " + b"q" * 64 + b" z", b"", b" \n "]
+    for w in words:
+        starts, h = minhash.word_hashes(w)
+        assert [w[s:].split()[0] for s in starts] == w.split() and len(set(h.tolist())) == len(set(w.split()))
+
+
 def test_bayes_bounds():
     assert [minhash.least_matches(n) for n in (30, 150)] == sorted(minhash.least_matches(n) for n in (30, 150))
     rng = np.random.default_rng(1)

@@ -1,23 +1,24 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents with one shingle set are one class. Classes meet in the buckets of banded signatures; a bucket's members are first compared
+Documents with one sequence of words are one class. Classes meet in the buckets of banded signatures; a bucket's members are first compared
 with one leader each, and links contract them to components, so a large group of near copies costs as many comparisons as it has members and
 not as many as it has pairs. Only members of different components that still share a bucket are compared with each other, in blocks.
 Every comparison reads the signatures batch by batch and ends once the posterior that the sets are similar enough is below the
-miss probability; what survives is verified on the full sets.
+miss probability; what survives is verified on the full sets of the words themselves. Hashes only lead to candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm.common import map_batches, store, struct
 from tessera.llm.components import components
@@ -31,11 +32,14 @@ BANDS, ROWS, BATCH = 30, 5, 30  # at a similarity of 0.8, no band is shared with
 MISS = 1e-6  # posterior below which a pair is given up
 PERCENT, SIZE = 80, 5
 LEADERS = 2  # rounds in which buckets are compared with one leader
-SMALL, BLOCK = 24, 100  # members of a bucket whose pairs are listed; members of a home beyond
-MB = 3  # text that is made into sets at a time
-MAX_BROADCAST_IDS = 500_000  # identifiers (8 bytes each) up to which they travel to the texts
+SMALL, BLOCK = 24, 100  # members of a bucket whose pairs are listed; members of a home and guests that meet there at a time
+WAVE = 4  # survivors of two components in a block that are verified first; each further wave has four times as many
+MB = 1  # text that is made into sets at a time
+PIECE = 1 << 19  # bytes whose words are hashed at a time
+MAX_BROADCAST_IDS = 200_000  # classes (some 50 bytes each) up to which they travel to the texts
 MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+LONG = 64  # bytes up to which a word's hash is a sum over its letters; a longer word's is a digest
+WEIGHTS = np.random.default_rng(8).integers(1, 1 << 63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,20 +48,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def normal(text: str) -> bytes:
+    """The words in lower case (A-Z only), joined by single spaces."""
+    return b" ".join(text.encode().translate(LOWER_BYTES).split())
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes) of the words between ASCII white space: 64 bits over all bytes of a word and its length."""
     b = np.frombuffer(data.translate(LOWER_BYTES), np.uint8)
     edge = np.diff(np.concatenate(([True], SPACE[b], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
+    out = np.zeros(len(starts), np.uint64)
     size = ends - starts
-    total = int(size.sum())
-    first = np.cumsum(size) - size
-    place = np.arange(total) - np.repeat(first, size)
-    letters = b[place + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)
-    h = np.add.reduceat(letters * POWERS[place & (len(POWERS) - 1)] * (place >> 12 << 1 | 1).astype(np.uint64), first)
-    return starts, mix(h + size.astype(np.uint64))
+    low = np.flatnonzero(size <= LONG)
+    # Some words at a time, so that what is worked out for each letter stays small.
+    cuts = np.searchsorted(np.cumsum(size[low]), np.arange(PIECE, size[low].sum() + PIECE, PIECE), "right") if len(low) else []
+    for one, upto in zip([0, *cuts[:-1]], cuts, strict=True) if len(low) else ():
+        some = low[one:upto]
+        if not len(some):
+            continue
+        n = size[some]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), n)
+        letters = b[place + np.repeat(starts[some], n)].astype(np.uint64) + np.uint64(1)
+        letters *= WEIGHTS[place]
+        out[some] = mix(np.add.reduceat(letters, first) + n.astype(np.uint64))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(b[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return starts, out
 
 
 def shingle_sets(texts: list[str], size: int = 2) -> list[np.ndarray]:
@@ -116,16 +134,17 @@ def survivors(a: np.ndarray, b: np.ndarray, percent: int = PERCENT, miss: float
     return alive
 
 
-def digest(s: np.ndarray) -> int:
-    """The class of a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(words: bytes) -> tuple[int, int]:
+    """128 bits that stand for a sequence of words."""
+    d = hashlib.blake2b(words, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-SKETCH = T.StructType([*struct("n_shingles long, cls long").fields, T.StructField("sig", T.ArrayType(T.IntegerType()))])
+SKETCH = T.StructType([*struct("n_shingles long, high long, low long").fields, T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text) to doc_id, n_shingles, cls (64 bits of a digest of the set; null for an empty one) and sig."""
+    """(doc_id, text) to doc_id, n_shingles, high and low (the digest of its words; null without words) and sig."""
     schema = T.StructType([docs.schema["doc_id"], *SKETCH])
 
     def make() -> Callable[[list[dict]], list[tuple]]:
@@ -134,7 +153,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signatures([sets[i] for i in full]).view(np.int32).tolist() if full else []
             by = dict(zip(full, sig, strict=True))
-            return [(r["doc_id"], len(s), digest(s) if len(s) else None, by.get(i)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+            return [(r["doc_id"], len(s), *(digest(normal(r["text"])) if len(s) else (None, None)), by.get(i)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
         return some
 
@@ -150,8 +169,8 @@ def bucket_table(reps: DataFrame) -> DataFrame:
 
 
 def prune(pairs: DataFrame, reps: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) that the signatures do not give up."""
-    sa, sb = reps.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), reps.select(F.col("cls").alias("b"), F.col("sig").alias("sb"))
+    """Pairs (a, b) whose sizes may be similar enough and that the signatures do not give up."""
+    sa, sb = (reps.select(F.col("cls").alias(c), F.col("sig").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
 
     def make() -> Callable[[list[dict]], list[tuple]]:
         def some(rows: list[dict]) -> list[tuple]:
@@ -160,42 +179,57 @@ def prune(pairs: DataFrame, reps: DataFrame, percent: int, miss: float) -> DataF
 
         return some
 
-    return map_batches(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb"), make, struct("a long, b long"))
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return map_batches(pairs.join(sa, "a").join(sb, "b").where(fit).select("a", "b", "sa", "sb"), make, struct("a long, b long"), MB)
 
 
-def full_sets(classes: DataFrame, reps: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The stored sets (cls, set: sorted 64-bit hashes) of some classes. Only their texts are read into sets."""
-    need = store(classes.distinct().join(reps.select("cls", "rep"), "cls"), "need")
+def full_words(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The stored words (cls, words) of some classes; their texts are read once."""
+    need = store(classes.distinct().join(reps.select("cls", "rep", "high", "low"), "cls"), "need")
     side = F.broadcast(need) if need.count() <= MAX_BROADCAST_IDS else need
-    texts = docs.join(side, docs["doc_id"].eqNullSafe(side["rep"])).select("cls", "text")
+    texts = docs.join(side, docs["doc_id"].eqNullSafe(side["rep"])).select("cls", "high", "low", "text")
 
     def make() -> Callable[[list[dict]], list[tuple]]:
         def some(rows: list[dict]) -> list[tuple]:
-            sets = shingle_sets([r["text"] or "" for r in rows], size)
-            return [(r["cls"], s.tobytes()) for r, s in zip(rows, sets, strict=True) if len(s) and digest(s) == r["cls"]]
+            out = ((r, normal(r["text"] or "")) for r in rows)
+            return [(r["cls"], w) for r, w in out if w and digest(w) == (r["high"], r["low"])]
 
         return some
 
-    return store(map_batches(texts, make, struct("cls long, set binary"), MB).dropDuplicates(["cls"]), "sets")
+    return store(map_batches(texts, make, struct("cls long, words binary"), MB).dropDuplicates(["cls"]), "words")
+
 
+def shingles(words: bytes, size: int) -> set:
+    """The runs of size words themselves, or all words as one run."""
+    w = words.split(b" ")
+    n = min(size, len(w))
+    return set(zip(*(w[k:] for k in range(n)), strict=False))
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+
+def similar(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Pairs whose full sets have percent of their union in common."""
-    sets = full_sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")), reps, docs, size)
-    full = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+def verify(pairs: DataFrame, words: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs whose full sets have percent of their union in common. words: of all classes that the pairs may have."""
+    full = pairs.join(words.select(F.col("cls").alias("b"), F.col("words").alias("y")), "b").join(words.select(F.col("cls").alias("a"), F.col("words").alias("x")), "a")
 
     def check() -> Callable[[list[dict]], list[tuple]]:
+        held: list = [None, set()]  # pairs come by a, so the last one's set is often due again
+
         def some(rows: list[dict]) -> list[tuple]:
-            return [(r["a"], r["b"]) for r in rows if similar(np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64), percent)]
+            out = []
+            for r in rows:
+                if r["x"] != held[0]:
+                    held[:] = r["x"], shingles(r["x"], size)
+                if similar(held[1], shingles(r["y"], size), percent):
+                    out.append((r["a"], r["b"]))
+            return out
 
         return some
 
-    return map_batches(full.select("a", "b", "x", "y"), check, struct("a long, b long"))
+    return map_batches(full.select("a", "b", "x", "y"), check, struct("a long, b long"), MB)
 
 
 def _label(buckets: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -231,13 +265,12 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return other.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def _large_links(members: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, size: int, miss: float) -> DataFrame:
-    """Links across components in larger buckets, found without listing pairs.
+def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(home, visits) of the members of larger buckets, without listing pairs.
 
-    Every member has a home: a block of about BLOCK members of its largest bucket. Members outside a bucket's largest component visit the
-    homes of all that share a bucket with them, once each: where a bucket's members live in half the blocks of a home's bucket or more, all
-    of its blocks, so the buckets that lead there are merged before the blocks are told apart. In a home, visitors and residents of different components are compared by
-    signature and then by set, and a link makes their components one, so what follows from earlier links is not compared again."""
+    Every member has a home (cls, comp, h, part): a block of about BLOCK members of its largest bucket. Members outside a bucket's largest
+    component visit (cls, comp, h, part) the homes of all that share a bucket with them, once each: where a bucket's members live in half
+    the blocks of a home's bucket or more, all of its blocks, so the buckets that lead there are merged before the blocks are told apart."""
     big = store(members.where(F.col("m") > SMALL), "large")
     home = big.groupBy("cls", "comp").agg(F.max(F.struct("m", "key")).alias("h"))
     blocks = F.ceil(F.col("h.m") / BLOCK).cast("long")
@@ -249,51 +282,75 @@ def _large_links(members: DataFrame, reps: DataFrame, docs: DataFrame, percent:
     guests = big.where(F.col("comp") != F.col("most")).select("key", "cls", "comp")
     whole = guests.join(most, "key").select("cls", "comp", "h").distinct().join(parts, "h").select("cls", "comp", "h", "part")
     some = guests.join(homes.join(most, ["key", "h"], "left_anti"), "key").select("cls", "comp", "h", "part")
-    visits = whole.union(some).distinct()
-    about = full_sets(home.select("cls"), reps, docs, size).join(reps.select("cls", "sig"), "cls")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        up: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while (n := up.get(c, c)) != c:
-                up[c] = c = up.get(n, n)
-            return c
-
-        out = []
-        if len(left) and len(right):
-            sig = np.stack(right["sig"].to_numpy()).astype(np.int32)
-            cls, comp = right["cls"].tolist(), right["comp"].tolist()
-            sets = [np.frombuffer(x, np.uint64) for x in right["set"]]
-            for a, ca, sa, xa in zip(left["cls_"].tolist(), left["comp_"].tolist(), left["sig_"], left["set_"], strict=True):
-                x, mine = np.frombuffer(xa, np.uint64), root(ca)
-                rows = np.array([k for k, c in enumerate(comp) if root(c) != mine], np.int64)
-                if len(rows):
-                    keep = survivors(np.broadcast_to(np.asarray(sa, np.int32), (len(rows), sig.shape[1])), sig[rows], percent, miss)
-                    for k in rows[keep].tolist():
-                        if root(comp[k]) != root(ca) and similar(x, sets[k], percent):
-                            up[root(comp[k])] = root(ca)
-                            out.append((a, cls[k]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    again = [F.col(c).alias(f"{c}_") for c in ("h", "part")]
-    come = visits.join(about, "cls").select(*again, *(F.col(c).alias(f"{c}_") for c in ("cls", "comp", "sig", "set")))
-    return come.groupBy("h_", "part_").cogroup(home.join(about, "cls").groupBy("h", "part")).applyInPandas(meet, "a long, b long")
+    return home, store(whole.union(some).distinct(), "visits")
+
+
+def _met(home: DataFrame, visits: DataFrame, reps: DataFrame, comps: DataFrame | None, wave: int, percent: int, miss: float) -> DataFrame:
+    """The pairs of a wave (a, b, more: whether a further wave has some): in each home, guests in blocks of about BLOCK and residents of other
+    components are compared by signature. Of the survivors of two components, those that agree most come in the first wave, WAVE in number,
+    and four times as many in each further one, unless their components have become one (now) meanwhile."""
+    low, high = (0 if not wave else WAVE * (4**wave - 1) // 3), WAVE * (4 ** (wave + 1) - 1) // 3
+    now = F.coalesce("component", "comp") if comps is not None else F.col("comp")
+    about = reps.select("cls", "sig", "n_shingles")
+    full = lambda d: (d.join(comps.select(F.col("id").alias("comp"), "component"), "comp", "left") if comps is not None else d).join(about, "cls").withColumn("now", now)
+    item = F.struct("cls", "comp", "now", F.col("n_shingles").alias("n"), "sig")
+    count = visits.groupBy("h", "part").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("of"))
+    come = full(visits.join(count, ["h", "part"])).groupBy("h", "part", F.pmod(F.xxhash64("cls", F.lit(5)), "of").alias("sub")).agg(F.collect_list(item).alias("x"))
+    live = full(home.join(count.select("h", "part"), ["h", "part"])).groupBy("h", "part").agg(F.collect_list(item).alias("y"))
+    arrow = to_arrow_schema(MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = []
+                for c in ("x", "y"):
+                    cls, comp, is_, n, sig = batch.column(c)[k].values.flatten()
+                    sides.append((cls.to_numpy(), comp.to_numpy(), is_.to_numpy(), n.to_numpy(), sig.flatten().to_numpy().reshape(len(cls), -1)))
+                (ax, cx, wx, nx, sx), (by, cy, wy, ny, sy) = sides
+                fit = (wx[:, None] != wy[None, :]) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
+                i, j = np.nonzero(fit)
+                keep = [part[survivors(sx[i[part]], sy[j[part]], percent, miss)] for part in np.array_split(np.arange(len(i)), -(-len(i) // 2048) or 1)]
+                keep = np.concatenate(keep)
+                i, j = i[keep], j[keep]
+                agree = -(sx[i] == sy[j]).sum(1)
+                order = np.lexsort((by[j], ax[i], agree, cy[j], cx[i]))
+                i, j = i[order], j[order]
+                new = np.concatenate(([True], (cx[i[1:]] != cx[i[:-1]]) | (cy[j[1:]] != cy[j[:-1]]))) if len(i) else np.zeros(0, bool)
+                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) if len(i) else np.zeros(0, int)
+                due = (rank >= low) & (rank < high)
+                if due.any():
+                    cols = ax[i[due]], by[j[due]], np.full(int(due.sum()), bool((rank >= high).any()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return come.join(live, ["h", "part"]).select("x", "y").mapInArrow(run, MET)
+
+
+MET = struct("a long, b long, more boolean")
+
+
+def _both(links: DataFrame | None, new: DataFrame) -> DataFrame:
+    return new if links is None else links.union(new)
 
 
 def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, miss: float = MISS) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, kept; other columns are not read. Words are what stands between ASCII white
     space, A-Z in lower case.
 
-    One row for each row. Null and empty texts link with nothing; rows that repeat a doc_id count as one document where a group's least
-    doc_id is kept; a null doc_id is never the least of a group with others. Shingles and sets are known by 64-bit hashes."""
+    One row for each row. Null, empty and blank texts link with nothing; rows that repeat a doc_id count as one document where a group's least
+    doc_id is kept; a null doc_id is never the least of a group with others. An empty table gives none. Texts of any length are read whole;
+    a set takes memory in proportion to its text. n_shingles counts 64-bit hashes; links compare the words themselves."""
     d = docs.select("doc_id", "text")
     rows = store(sketch(d, size), "sketch")
-    has = rows.where(F.col("cls").isNotNull())
-    classes = has.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    reps = store(has.join(classes, "cls").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "rep", "sig").dropDuplicates(["cls"]), "reps")
+    has = rows.where(F.col("high").isNotNull())
+    # Numbers are given once and stored, so that a class keeps its own and no two share one.
+    classes = store(has.groupBy("high", "low").agg(F.min("doc_id").alias("rep")), "digests")
+    classes = store(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    reps = has.join(classes, ["high", "low"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cls"])
+    reps = store(reps.select("cls", "rep", "high", "low", "n_shingles", "sig"), "reps")
     buckets = store(bucket_table(reps), "buckets")
+    words = full_words(buckets.select("cls"), reps, d)
     links, comps = None, None
+    merged = lambda: components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     for step in range(LEADERS + 1):
         members = store(_unsettled(_label(buckets, comps)), "members")
         if step:
@@ -301,11 +358,19 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, mi
         if members.isEmpty():
             break
         listed = _leader_pairs(members, step) if step < LEADERS else _small_pairs(members)
-        new = store(verify(store(prune(listed, reps, percent, miss), "pairs"), reps, d, percent, size), "links")
-        if step == LEADERS:
-            new = new.union(store(_large_links(members, reps, d, percent, size, miss), "links"))
-        links = new if links is None else links.union(new)
-        comps = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        links = _both(links, store(verify(store(prune(listed, reps, percent, miss), "pairs"), words, percent, size), "links"))
+        comps = merged()
+    else:
+        home, visits = _meetings(members)
+        since, wave = None, 0  # since: by the components that home and visits tell of, what they have become
+        while not visits.isEmpty():
+            met = store(_met(home, visits, reps, since, wave, percent, miss), "met")
+            links = _both(links, store(verify(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words, percent, size), "links"))
+            comps, wave = merged(), wave + 1
+            if met.where("more").isEmpty():
+                break
+            since = home.select("cls", "comp").union(visits.select("cls", "comp")).distinct().join(comps.withColumnRenamed("id", "cls"), "cls")
+            since = store(since.groupBy(F.col("comp").alias("id")).agg(F.min("component").alias("component")), "since")
     ids = reps.select("cls", "rep")
     if comps is not None:
         known = ids.join(comps.withColumnRenamed("id", "cls"), "cls")
@@ -314,9 +379,11 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, mi
         ids = ids.select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     else:
         ids = ids.select("cls", F.col("rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = classes.join(ids, "cls").select("high", "low", "component_id")
+    out = rows.select("doc_id", "n_shingles", "high", "low").join(ids, ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_near_documents(documents: DataFrame) -> DataFrame:
+    """near_documents with shingles of two words, in the cases that it states."""
     return near_documents(documents, size=2)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +59,64 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_MADE = threading.local()
+
+
+def note(path: str) -> str:
+    """path, which the operator at work deletes when it has its result."""
+    if scopes := getattr(_MADE, "scopes", []):
+        scopes[-1].append(path)
+    return path
+
+
 def store(df: DataFrame, kind: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
-    path = fresh_dir(df.sparkSession, kind)
+    path = note(fresh_dir(df.sparkSession, kind))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all tables and files that were made in it."""
+    outer = getattr(_MADE, "scopes", [])
+    _MADE.scopes = [*outer, made := []]
+    try:
+        yield
+    finally:
+        _MADE.scopes = outer
+        for path in made:
+            delete(spark, path)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a DataFrame whose result is stored, after which all else that it made is deleted."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args: object, **kwargs: object) -> DataFrame:
+        spark = df.sparkSession
+        path = note(fresh_dir(spark, operator.__name__))
+        with scope(spark):
+            out = operator(df, *args, **kwargs)
+            out.write.parquet(path)
+            return spark.read.schema(out.schema).parquet(path)
+
+    return run
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df, which has so many rows, each a task's work, by ranges of by: in as many tasks as the session has partitions or the rows allow.
+    The number is told, so adaptive execution, which only sees the rows' few bytes, leaves it."""
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartitionByRange(max(1, min(rows, max(int(conf), df.sparkSession.sparkContext.defaultParallelism))), *by)
+
+
 def file_system(uri: str):  # noqa: ANN201
     """pyarrow's file system of a URI, and the path in it."""
     from pyarrow import fs
@@ -70,15 +124,8 @@ def file_system(uri: str):  # noqa: ANN201
     return fs.FileSystem.from_uri(uri)
 
 
-class Cache(dict):
-    """A dict that asks make for what it lacks and starts anew once it holds most entries: memory stays bounded, results don't change."""
-
-    def __init__(self, make: Callable, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):  # noqa: ANN001, ANN204
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
+def renamed(df: DataFrame, taken: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns named as those of taken out of the way, in any case of letters, and what names them back and drops all others."""
+    low = {c.lower() for c in taken}
+    names = [f"column {i} of df" if c.lower() in low else c for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*(out[f"`{n}`"].alias(c) for n, c in zip(names, df.columns, strict=True)))

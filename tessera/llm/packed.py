@@ -1,8 +1,8 @@
 """Token ids in files of fixed-width bits.
 
 A file: the magic, then blocks, then a footer of JSON (width, blocks as [offset, documents, ids]) and its length in 8 bytes. A block holds
-the doc_ids and the lengths of its documents as signed and unsigned 64-bit numbers and then its ids, each in the least number of bits
-that the vocabulary needs; 64 ids fill as many 64-bit words as an id has bits, so numpy unpacks whole blocks and any document by itself.
+the doc_ids and the lengths of its documents as signed and unsigned 64-bit numbers, a byte for each that is 1 where the doc_id is null (its
+number is 0), and then its ids, each in the least number of bits that the vocabulary needs; 64 ids fill as many 64-bit words as an id has bits, so numpy unpacks whole blocks and any document by itself.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import file_system, fresh_dir, map_rows, store, struct
+from tessera.llm.common import file_system, fresh_dir, map_rows, note, spread, store, struct, tidy
 from tessera.llm.words import WORD_BPE, word_encoder
 
-MAGIC = b"TESSPK01"
+MAGIC = b"TESSPK02"
 BLOCK_IDS = 1 << 20
 END_ID = 1
+HEAD = 17  # bytes of a block for each document, before its ids
 
 
 def bits(vocab_size: int) -> int:
@@ -69,12 +70,12 @@ class Writer:
         self.file, self.width = self.fs.open_output_stream(self.path), width
         self.file.write(MAGIC)
         self.at, self.blocks = len(MAGIC), []
-        self.keys: list[int] = []
+        self.keys: list[int | None] = []
         self.sizes: list[int] = []
         self.parts: list[bytes] = []
         self.held = 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: unsigned 32-bit, little-endian."""
         self.keys.append(doc_id)
         self.sizes.append(len(ids) // 4)
@@ -84,7 +85,9 @@ class Writer:
             self._flush()
 
     def _flush(self) -> None:
-        data = np.array(self.keys, "<i8").tobytes() + np.array(self.sizes, "<u8").tobytes() + pack(np.frombuffer(b"".join(self.parts), "<u4"), self.width)
+        none = np.array([k is None for k in self.keys], np.uint8)
+        keys = np.array([k or 0 for k in self.keys], "<i8")
+        data = keys.tobytes() + np.array(self.sizes, "<u8").tobytes() + none.tobytes() + pack(np.frombuffer(b"".join(self.parts), "<u4"), self.width)
         self.blocks.append([self.at, len(self.keys), self.held])
         self.file.write(data)
         self.at += len(data)
@@ -109,12 +112,14 @@ class Reader:
             raise ValueError(f"{path} is no packed file")
         self.width, self.blocks, self.end = footer["width"], footer["blocks"], size - 8 - n
 
-    def block(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def block(self, k: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         """doc_ids, lengths and ids of one block."""
         at, docs, ids = self.blocks[k]
         upto = self.blocks[k + 1][0] if k + 1 < len(self.blocks) else self.end
         data = self.file.read_at(upto - at, at)
-        return np.frombuffer(data, "<i8", docs), np.frombuffer(data, "<u8", docs, docs * 8), unpack(memoryview(data)[docs * 16 :], self.width, ids)
+        none = np.frombuffer(data, np.uint8, docs, docs * 16).tolist()
+        keys = [None if no else i for i, no in zip(np.frombuffer(data, "<i8", docs).tolist(), none, strict=True)]
+        return keys, np.frombuffer(data, "<u8", docs, docs * 8), unpack(memoryview(data)[docs * HEAD :], self.width, ids)
 
     def document(self, k: int, i: int) -> np.ndarray:
         """The ids of document i of block k, without unpacking its neighbours."""
@@ -122,19 +127,21 @@ class Reader:
         sizes = np.frombuffer(self.file.read_at(docs * 8, at + docs * 8), "<u8")
         first, count = int(sizes[:i].sum()), int(sizes[i])
         low, high = first // 64 * self.width * 8, -(-(first + count) // 64) * self.width * 8
-        return unpack(self.file.read_at(high - low, at + docs * 16 + low), self.width, count, first % 64)
+        return unpack(self.file.read_at(high - low, at + docs * HEAD + low), self.width, count, first % 64)
 
 
 MANIFEST = struct("part int, uri string, docs long, ids long")
 
 
 def write_packed(df: DataFrame, folder: str, text: str = "text", key: str = "doc_id", tokenizer: str = WORD_BPE, end_id: int | None = END_ID) -> DataFrame:
-    """Encodes df's texts and writes a file for each partition, in ascending order of key (rows of one key by text; a null text is
-    empty; rows without a key are an error, since they have no place). Returns the manifest, one row for each file, as a stored table:
+    """Encodes df's texts and writes a file for each partition, in ascending order of key, null first; rows of one key by a hash of their
+    text and by the text, so a key with many rows may be spread over files. A null text is empty; rows that repeat both are written as often
+    as they stand there; other columns are not read. Returns the manifest, one row for each file (none for an empty table), as a stored table:
     it names the files of the attempts that counted, so lost and repeated tasks do no harm."""
     spark = df.sparkSession
     clean = df.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    ordered = clean.repartitionByRange("key").sortWithinPartitions("key", "text")
+    clean = clean.withColumn("h", F.xxhash64("text"))
+    ordered = clean.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").select("key", "text")
     arrow = to_arrow_schema(MANIFEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +155,6 @@ def write_packed(df: DataFrame, folder: str, text: str = "text", key: str = "doc
                     uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.bin"
                     writer = Writer(uri, bits(max(encode.vocab_size, (end_id or 0) + 1)))
                 for k, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    if k is None:
-                        raise ValueError(f"a row without {key} has no place in the order")
                     writer.add(k, data + end)
                     docs, ids = docs + 1, ids + (len(data) + len(end)) // 4
         if writer:
@@ -170,8 +175,9 @@ DOCUMENTS = struct("doc_id long, start long, n_tokens long, ids_crc32 long")
 
 def read_packed(manifest: DataFrame) -> DataFrame:
     """Each document of the manifest's files, read back: doc_id, start (ids of all before it), n_tokens and the crc32 of its ids as
-    little-endian unsigned 32-bit numbers. The manifest has a row a file, so its running sum in one task is small."""
-    files = manifest.select("uri", (F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("base"))
+    little-endian unsigned 32-bit numbers. The manifest has a row a file, so its running sum in one task is small; files are read by
+    as many tasks as there are, up to the session's partitions."""
+    files = manifest.select("part", "uri", (F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("base"))
 
     def make() -> Callable[[dict], Iterator[tuple]]:
         def one(row: dict) -> Iterator[tuple]:
@@ -179,14 +185,17 @@ def read_packed(manifest: DataFrame) -> DataFrame:
             for k in range(len(reader.blocks)):
                 keys, sizes, ids = reader.block(k)
                 at = 0
-                for key, n in zip(keys.tolist(), sizes.tolist(), strict=True):
+                for key, n in zip(keys, sizes.tolist(), strict=True):
                     yield key, start, n, zlib.crc32(ids[at : at + n])
                     at, start = at + n, start + n
 
         return one
 
-    return map_rows(files.repartition(F.col("uri")), make, DOCUMENTS)
+    return map_rows(spread(files, manifest.count(), "part"), make, DOCUMENTS)
 
 
+@tidy
 def op6_token_files(documents: DataFrame) -> DataFrame:
-    return read_packed(write_packed(documents, fresh_dir(documents.sparkSession, "packed")))
+    """Writes the documents as packed files and reads them back (see write_packed for nulls, repeats and order); the files go once the
+    result is stored."""
+    return read_packed(write_packed(documents, note(fresh_dir(documents.sparkSession, "packed"))))

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import file_system, fresh_dir, map_rows, store, struct
+from tessera.llm.common import file_system, fresh_dir, map_rows, note, spread, store, struct, tidy
 from tessera.llm.words import WORD_BPE, word_encoder
 
 END_OF_DOCUMENT = 49407
 BLOCK_BYTES = 4 << 20
+CHUNK = 1024  # blocks of a file that the prefix scan's first level takes together
 PLACES = struct("uri string, bytes long, ordinal long, doc_id long")
 
 
@@ -30,6 +31,8 @@ def write_flat(df: DataFrame, folder: str, text: str = "text", key: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out, at, ordinal = word_encoder(tokenizer, special=False), None, 0, 0
+        if max(encode.vocab_size - 1, end_id) >= 1 << 16:
+            raise ValueError(f"ids of {tokenizer} do not fit in 16 bits")
         for batch in batches:
             step = max(1, int(batch.num_rows * 8e6 // max(batch.nbytes, 1)))
             for i in range(0, batch.num_rows, step):
@@ -71,23 +74,34 @@ def search_blocks(files: DataFrame, end_id: int, width: int, block_bytes: int) -
 
         return one
 
-    return map_rows(blocks.repartition("uri", "block"), make, BLOCKS)
+    n_blocks = files.agg(F.sum(last + 1)).first()[0] or 0
+    return map_rows(spread(blocks, n_blocks, "uri", "block"), make, BLOCKS)
 
 
 def count_tokens(files: DataFrame, end_id: int = END_OF_DOCUMENT, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """files (uri, bytes) to documents: uri, ordinal, start, n_tokens (without the end id), closed. A file may end in a document without its
-    end id (closed is false); an empty file has none. The running sums are over blocks, a row each, within a file."""
+    end id (closed is false); an empty file has none.
+
+    The prefix scan has two levels and reads a block's numbers, not its places: sums and last ends over the blocks of a chunk, and over the
+    chunks of a file, so a file of any size is scanned by many tasks."""
     if block_bytes < width:
         raise ValueError("a block must hold an id")
     found = store(search_blocks(files, end_id, width, block_bytes), "blocks")
-    before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    n, total = F.size("ends"), F.sum("n_ids").over(Window.partitionBy("uri"))
-    carry = F.coalesce(F.max(F.when(n > 0, F.element_at("ends", -1))).over(before), F.lit(0))
-    stitched = found.select(
-        "uri", "ends", carry.alias("carry"), F.coalesce(F.sum(n).over(before), F.lit(0)).alias("first"), F.col("block"),
-        F.max("block").over(Window.partitionBy("uri")).alias("last"), total.alias("total"),
+    n, last = F.size("ends").cast("long"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0))
+    info = found.select("uri", "block", "n_ids", n.alias("n"), last.alias("end"), F.floor(F.col("block") / CHUNK).alias("chunk"))
+    chunks = info.groupBy("uri", "chunk").agg(F.sum("n").alias("n"), F.max("end").alias("end"), F.sum("n_ids").alias("n_ids"), F.max("block").alias("last"))
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda f, c, w: F.coalesce(f(c).over(w), F.lit(0))
+    file, chunk = upto("uri", "chunk"), upto("uri", "chunk", "block")
+    whole = Window.partitionBy("uri")
+    chunks = chunks.select(
+        "uri", "chunk", so_far(F.sum, "n", file).alias("first"), so_far(F.max, "end", file).alias("carry"),
+        F.max("last").over(whole).alias("last"), F.sum("n_ids").over(whole).alias("total"),
     )
-    at = F.greatest("carry", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)))
+    before = info.select("uri", "chunk", "block", so_far(F.sum, "n", chunk).alias("n"), so_far(F.max, "end", chunk).alias("end")).join(chunks, ["uri", "chunk"])
+    before = before.select("uri", "block", (F.col("first") + F.col("n")).alias("first"), F.greatest("carry", "end").alias("carry"), "last", "total")
+    stitched = found.select("uri", "block", "ends").join(before, ["uri", "block"])
+    at = F.greatest("carry", last)
     open_ = F.when((F.col("block") == F.col("last")) & (at < F.col("total")), F.array(F.col("total") + 1))  # as if an end id came next
     ends = F.concat("ends", F.coalesce(open_, F.array().cast("array<bigint>")))
     each = stitched.select("uri", "first", "total", "carry", ends.alias("ends")).select("uri", "first", "total", "carry", "ends", F.posexplode("ends").alias("i", "end"))
@@ -110,8 +124,11 @@ def flat_files(spark: SparkSession, uris: list[str]) -> DataFrame:
     return spark.createDataFrame(sizes, "uri string, bytes bigint")
 
 
+@tidy
 def op10_token_counts(documents: DataFrame) -> DataFrame:
-    """Writes the documents as flat files, counts them there, and gives each count its doc_id: doc_id, n_tokens."""
-    places = write_flat(documents, fresh_dir(documents.sparkSession, "flat"))
+    """Writes the documents as flat files, counts them there, and gives each count its doc_id: doc_id, n_tokens. One row for each row, null
+    doc_ids and repeated rows too; null and empty texts have 0; an empty table gives none; other columns are not read. The files go once
+    the result is stored."""
+    places = write_flat(documents, note(fresh_dir(documents.sparkSession, "flat")))
     counts = count_tokens(files_of(places))
     return counts.where("closed").join(places.select("uri", "ordinal", "doc_id"), ["uri", "ordinal"]).select("doc_id", "n_tokens")

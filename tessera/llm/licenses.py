@@ -1,4 +1,5 @@
-"""License scan: Aho-Corasick over words for notice phrases and tags; a shunting-yard parser for the expressions behind tags."""
+"""License scan: Aho-Corasick over words for notice phrases and tags; a shunting-yard parser for the expressions behind tags, which are
+evaluated against an allow-list."""
 
 from __future__ import annotations
 
@@ -21,8 +22,11 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 BASE_WEIGHT, TAG_WEIGHT = 0.9, 0.95
-EXPRESSION = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
-TERM = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+EXPRESSION = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+TERM = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)|\s*(\S)")
+#: Identifiers (lower case) that an expression's terms are held against by default, and the labels that tell of the outcome.
+ALLOWED = frozenset(["mit", "mit-0", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "0bsd", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-4.0", "python-2.0"])
+PERMITTED, RESTRICTED = "expression-permitted", "expression-restricted"
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 
@@ -31,18 +35,25 @@ class ExpressionError(ValueError):
 
 
 def parse_expression(text: str) -> list[str]:
-    """Postfix of the longest valid expression at the start of text; operators in either case, with binds tightest, then and, then or."""
-    tokens = []
-    for m in re.finditer(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)|\s*(\S)", text):
-        if m[2]:
+    """Postfix of the longest valid expression at the start of text; operators in either case, with binds tightest, then and, then or.
+    One pass finds where it ends: behind the last term or bracket at which no operand is due and no bracket open."""
+    tokens: list[str] = []
+    end = depth = 0
+    operand = True  # whether one is due
+    for m in TERM.finditer(text):
+        t = m[1]
+        if t is None or operand != (t == "(" or t != ")" and t.upper() not in PRECEDENCE):
             break
-        tokens.append(m[1])
-    for end in range(len(tokens), 0, -1):
-        try:
-            return _postfix(tokens[:end])
-        except ExpressionError:
-            continue
-    raise ExpressionError(text[:80])
+        depth += (t == "(") - (t == ")")
+        if depth < 0:
+            break
+        tokens.append(t)
+        operand = t == "(" or t.upper() in PRECEDENCE
+        if not operand and not depth:
+            end = len(tokens)
+    if not end:
+        raise ExpressionError(text[:80])
+    return _postfix(tokens[:end])
 
 
 def _postfix(tokens: list[str]) -> list[str]:
@@ -120,25 +131,31 @@ def automaton():  # noqa: ANN201
     return a
 
 
-def scan_text(text: str) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions) of one text."""
+def scan_text(text: str, allowed: frozenset[str] = ALLOWED) -> tuple:
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permitted) of one text. permitted: whether each of
+    its expressions can be met with allowed identifiers; null without any. An outcome is a label too, and a restricted expression is
+    no less sure a sign of a license than a permitted one."""
     words = text.encode().translate(WORD_BYTES).split()
     flat = f" {b' '.join(words).decode(errors='surrogateescape')} "
     places, base, labels, doubt, tag = [], set(), set(), 1.0, False
     seen: set[str] = set()
+    at = before = 0  # the words before a place in flat
     for end, phrase in automaton().iter(flat):
         if phrase == TAG:
             tag = True
             continue
         if phrase in BASE:
-            places.append(flat.count(" ", 0, end - len(phrase) - 1))
+            start = end - len(phrase) - 1
+            before += flat.count(" ", at, start) if start >= at else -flat.count(" ", start, at)
+            at = start
+            places.append(before)
             base.add(BASE[phrase])
         else:
             labels.add(NOTICES[phrase][0])
         if phrase not in seen:
             seen.add(phrase)
             doubt *= 1 - (BASE_WEIGHT if phrase in BASE else NOTICES[phrase][1])
-    expressions = []
+    expressions, permitted = [], None
     if tag:
         for m in EXPRESSION.finditer(text):
             try:
@@ -147,22 +164,28 @@ def scan_text(text: str) -> tuple:
                 continue
             expressions.append(" ".join(postfix))
             labels |= {family(x) for x in identifiers(postfix)}
+            permitted = permitted is not False and evaluate(postfix, lambda x: x.lower() in allowed)
             doubt *= 1 - TAG_WEIGHT
+    if permitted is not None:
+        labels.add(PERMITTED if permitted else RESTRICTED)
     join = lambda s: ",".join(sorted(s))
-    return len(words), len(places), min(places, default=None), max(places, default=None), join(base), join(base | labels), 1 - doubt, "; ".join(expressions)
+    return len(words), len(places), min(places, default=None), max(places, default=None), join(base), join(base | labels), 1 - doubt, "; ".join(expressions), permitted
 
 
-RESULT = struct("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string")
+RESULT = struct("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, permitted boolean")
 
 
-def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
-    """df's columns without the text (and without those that the result has) and RESULT's. One row for each row; null: empty."""
-    keep = [c for c in df.columns if c != text and c not in RESULT.fieldNames()]
+def scan_licenses(df: DataFrame, text: str = "text", allowed: frozenset[str] = ALLOWED) -> DataFrame:
+    """df's columns without the text (and without those that the result has, in any case of letters) and RESULT's. One row for each row,
+    repeated ones too; a null text is an empty one, which has no words, no labels and a score of 0; texts of any length take time in
+    proportion to it; an empty table gives none."""
+    taken = {c.lower() for c in RESULT.fieldNames()}
+    keep = [c for c in df.columns if c != text and c.lower() not in taken]
     schema = type(RESULT)([*(df.schema[c] for c in keep), *RESULT])
 
     def make() -> Callable[[dict], Iterator[tuple]]:
         def one(row: dict) -> Iterator[tuple]:
-            yield (*(row[c] for c in keep), *scan_text(row[text] or ""))
+            yield (*(row[c] for c in keep), *scan_text(row[text] or "", allowed))
 
         return one
 
@@ -170,4 +193,5 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_licenses(documents: DataFrame) -> DataFrame:
+    """scan_licenses of doc_id and text with the default allow-list, in the cases that it states."""
     return scan_licenses(documents.select("doc_id", "text"))

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_batches, struct
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-CHUNKS, PIECES, PAIRS = 250_000, 100_000, 250_000  # entries of a worker's caches
+CHUNKS, PIECES, PAIRS = 100_000, 100_000, 250_000  # entries of a worker's caches
+SHORT = 100  # letters up to which a chunk or piece is kept in them, so that entries bound bytes
 
 
 @lru_cache(2)
@@ -42,14 +43,13 @@ class PrefixBPE:
         self.ranks, self.longest = ranks, max(map(len, ranks))
         self.tokens = {v: k for k, v in ranks.items()}
         self.goes: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
-        # The library's merge of a few bytes, for pairs of tokens only; none of them is asked for a text.
-        self.join = tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.parts: dict[int, list[int]] = {}
+        self.edges: dict[tuple[int, bool], tuple[list[bytes], list[int]]] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """Plain merging by rank; decides whether a single token is valid."""
+    def merge(self, data: bytes, whole: bool = True) -> list[int]:
+        """Plain merging by rank, as the vocabulary was learned; not whole: the last merge, of all of data, is left out."""
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > 1 + (not whole):
             best, at = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)), default=(1 << 60, 0))
             if best == 1 << 60:
                 break
@@ -57,15 +57,48 @@ class PrefixBPE:
         return [ranks[p] for p in parts]
 
     def is_token(self, t: int) -> bool:
-        if (ok := self.alone.get(t)) is None:
-            ok = self.alone[t] = self.merge(self.tokens[t]) == [t]
-        return ok
+        return len(self.tokens[t]) == 1 or len(self.halves(t)) == 2
+
+    def halves(self, t: int) -> list[int]:
+        """What a token is merged from at last; more than two parts if merging its bytes does not lead to it."""
+        if (known := self.parts.get(t)) is None:
+            known = self.parts[t] = self.merge(self.tokens[t], whole=False)
+        return known
+
+    def edge(self, t: int, right: bool) -> tuple[list[bytes], list[int]]:
+        """What stands at a token's right (or left) end while it is merged, from a byte to the token itself, and the rank of the merge that
+        ends each; the token's own has no end."""
+        if (known := self.edges.get((t, right))) is None:
+            parts = self.halves(t)
+            if len(parts) == 2:
+                at, ends = self.edge(parts[right], right)
+                known = [*at, self.tokens[t]], [*ends[:-1], t, 1 << 60]
+            else:
+                known = [self.tokens[t]], [1 << 60]
+            self.edges[t, right] = known
+        return known
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether a merge crosses from a to b while both are merged from bytes. Merges go by rank and then from the left, so those within a go
+        before the crossing one of equal rank, and that goes before those within b."""
+        (x, dx), (y, dy), get = self.edge(a, True), self.edge(b, False), self.ranks.get
+        i = j = 0
+        while True:
+            cross = get(x[i] + y[j], 1 << 60)
+            if cross < dx[i] and cross <= dy[j]:
+                return True
+            if i == len(x) - 1 and j == len(y) - 1:
+                return False
+            if dx[i] <= dy[j]:
+                i += 1
+            else:
+                j += 1
 
     def is_pair(self, a: int, b: int) -> bool:
         if (ok := self.goes.get((a, b))) is None:
             if len(self.goes) >= PAIRS:
                 self.goes.clear()
-            ok = self.goes[a, b] = self.join(self.tokens[a] + self.tokens[b]) == [a, b]
+            ok = self.goes[a, b] = not self.joins(a, b)
         return ok
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> None:
@@ -253,6 +286,7 @@ class TextEncoder:
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.chunks: dict[str, str | None] = {}
         self.pieces: dict[str, str] = {}
+        self.long: list[str] = []
 
     def _learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.pieces]
@@ -260,6 +294,7 @@ class TextEncoder:
             self.pieces = {p: self.pieces[p] for p in pieces - set(new)}
         for p, ids in zip(new, self.bpe.encode([p.encode() for p in new]), strict=True):
             self.pieces[p] = " ".join(map(str, ids))
+        self.long += [p for p in new if len(p) > SHORT]
 
     def split(self, chunk: str) -> list[str]:
         """The pattern's pieces; letters behind a space, with a mark behind them or not, need no search."""
@@ -291,17 +326,28 @@ class TextEncoder:
                 ps = self.find(t)
                 self._learn(set(ps))
                 out.append(" ".join(map(self.pieces.__getitem__, ps)))
+                self._forget()
+        for c in [c for c in need if len(c) > SHORT]:
+            del self.chunks[c]
+        self._forget()
         return out
 
+    def _forget(self) -> None:
+        for p in self.long:
+            self.pieces.pop(p, None)
+        self.long.clear()
+
 
 RESULT = struct("n_tokens long, ids string, decoded binary")
 
 
 def encode_texts(df: DataFrame, text: str = "text", ranks: str = DEFAULT_RANKS, digests: bool = False) -> DataFrame:
-    """df's columns (those that the result has, give way) and n_tokens, ids (decimal, joined by spaces) and decoded (their bytes);
-    with digests their sha256 in place of the last two. One row for each row; a null text counts as empty."""
+    """df's columns (those that the result has, in any case of letters, give way) and n_tokens, ids (decimal, joined by spaces) and decoded
+    (their bytes); with digests their sha256 in place of the last two. One row for each row, repeated ones too; a null or empty text has no
+    ids; texts of any length are encoded whole, and what is long is not kept; an empty table gives none."""
     result = struct("n_tokens long, ids_sha256 string, decoded_sha256 string") if digests else RESULT
-    keep = [c for c in df.columns if c not in result.fieldNames()]
+    taken = {c.lower() for c in result.fieldNames()}
+    keep = [c for c in df.columns if c.lower() not in taken]
     out_cols = [c for c in keep if not (digests and c == text)]
     schema = type(RESULT)([*(df.schema[c] for c in out_cols), *result])
 
@@ -324,4 +370,5 @@ def encode_texts(df: DataFrame, text: str = "text", ranks: str = DEFAULT_RANKS,
 
 
 def op3_bpe(documents: DataFrame) -> DataFrame:
+    """encode_texts of doc_id and text with digests, in the cases that it states."""
     return encode_texts(documents.select("doc_id", "text"), digests=True)

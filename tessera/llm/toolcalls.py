@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_dir, store
+from tessera.llm.common import fresh_dir, note, store, tidy
 
 #: A schema: for each argument its type and whether it must be there; other arguments are errors.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -40,17 +40,24 @@ def _errors(args: Column, name: Column, schemas: Schemas) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def waves(links: DataFrame) -> DataFrame:
-    """Topological order: links (conv_id, call_id, turn, needs: a call_id or null), one row for each call, to (conv_id, call_id, turn, wave):
-    0 for calls that need nothing that is there, else one more than the one they need. What stands on a cycle or behind one has none.
+FAR = 1 << 40  # longer than any path; steps around a cycle stay there
+
 
-    Every call points to the one it needs, and each round points it to what that one points to, so the rounds are the logarithm of the longest
-    chain. A call is settled once it points beyond a chain's start; a round that settles none leaves only cycles and what is behind them."""
-    spark, folder, rounds = links.sparkSession, fresh_dir(links.sparkSession, "waves"), 0
-    known = links.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
-    to, steps = F.when(F.col("there"), F.col("needs")).alias("to"), F.when(F.col("there"), 1).otherwise(0).alias("steps")
-    calls = store(links.join(known, ["conv_id", "needs"], "left").select("conv_id", "call_id", "turn", to, steps), "calls")
-    done = calls.where("to IS NULL").select("conv_id", "call_id", "turn", F.col("steps").alias("wave"))
+def waves(links: DataFrame) -> DataFrame:
+    """Topological order: links (conv_id, call_id, turn, needs: an array of call_ids or null), one row for each call, to (conv_id, call_id, turn,
+    wave): 0 for calls that need nothing that is there, else one more than the greatest of those they need. What stands on a cycle or
+    behind one has none.
+
+    An unsettled call has edges to unsettled ones, with steps, and the least wave that its settled ones leave it (base). A round takes each
+    edge to a settled call into the base, and leads each edge to a call with one edge on to that edge's end; edges that meet become one. So a
+    chain takes the logarithm of its length in rounds, and other graphs as many as calls with several unsettled ones follow each other.
+    Without cycles every round settles calls; one that settles none leaves only cycles and what is behind them."""
+    spark, folder, rounds = links.sparkSession, note(fresh_dir(links.sparkSession, "waves")), 0
+    by, zero = ["conv_id", "call_id"], F.lit(0).cast("long")
+    known = links.select("conv_id", F.col("call_id").alias("to"))
+    edges = links.select(*by, "turn", F.explode("needs").alias("to")).distinct().join(known, ["conv_id", "to"])
+    edges = store(edges.select(*by, "turn", zero.alias("base"), "to", (zero + 1).alias("steps"), F.count("*").over(Window.partitionBy(*by)).alias("open")), "edges")
+    done = links.join(edges.select(*by), by, "left_anti").select(*by, "turn", zero.alias("wave"))
 
     def settle(df: DataFrame) -> DataFrame:
         """A round's calls in a folder of its own below that of all, so the result is one scan however many there are."""
@@ -60,15 +67,24 @@ def waves(links: DataFrame) -> DataFrame:
     def settled() -> DataFrame:
         return spark.read.schema(done.schema).parquet(folder).select(*done.columns)
 
-    new, calls = settle(done), calls.where("to IS NOT NULL")
-    while not calls.isEmpty() and not new.isEmpty():
+    new = settle(done)
+    while not edges.isEmpty() and not new.isEmpty():
         rounds += 1
-        ends = settled().select("conv_id", F.col("call_id").alias("to"), F.lit(None).cast(calls.schema["to"].dataType).alias("far"), F.col("wave").alias("more"))
-        ends = ends.union(calls.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more")))
-        hop = calls.join(ends, ["conv_id", "to"]).select("conv_id", "call_id", "turn", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
-        calls = store(hop, "calls")
-        new = settle(calls.where("to IS NULL").select("conv_id", "call_id", "turn", F.col("steps").alias("wave")))
-        calls = calls.where("to IS NOT NULL")
+        none = F.lit(None)
+        ends = settled().select("conv_id", F.col("call_id").alias("to"), F.col("wave").alias("least"), none.cast(edges.schema["to"].dataType).alias("on"), none.cast("long").alias("more"))
+        ends = ends.union(edges.where("open = 1").select("conv_id", F.col("call_id").alias("to"), F.col("base").alias("least"), F.col("to").alias("on"), F.col("steps").alias("more")))
+        met = edges.join(ends, ["conv_id", "to"], "left")
+        stay = F.col("least").isNull()
+        met = met.select(
+            *by, "turn", F.when(stay, F.col("to")).otherwise(F.col("on")).alias("to"),
+            F.least(F.col("steps") + F.coalesce("more", zero), F.lit(FAR)).alias("steps"),
+            F.greatest("base", F.least(F.coalesce(F.col("least") + F.col("steps"), zero), F.lit(FAR))).alias("base"),
+        )
+        one = met.repartition(*by).groupBy(*by, "turn", "to").agg(F.max("steps").alias("steps"), F.max("base").alias("base"))
+        own = Window.partitionBy(*by)
+        moved = store(one.select(*by, "turn", F.max("base").over(own).alias("base"), "to", "steps", F.count("to").over(own).alias("open")), "edges")
+        new = settle(moved.where("open = 0").select(*by, "turn", F.col("base").alias("wave")))
+        edges = moved.where("to IS NOT NULL")
     return settled()
 
 
@@ -86,13 +102,16 @@ def positions(order: DataFrame) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """calls (conv_id, call_id, turn, name, arguments: JSON text, needs: a call_id or null) and results (conv_id, call_id, content) to a row
-    for each call, and one for each identifier that has results alone.
+    """calls (conv_id, call_id, turn, name, arguments: JSON text, needs: a call_id, an array of them, or null) and results (conv_id, call_id,
+    content) to a row for each call, and one for each identifier that has results alone.
 
     conv_id, call_id, turn, wave, position (1 for the first call of its conversation by wave, turn and call_id; null on a cycle), n_calls
     and n_results (rows that repeat the identifier; the least by turn and text stands for them), status (linked, no_result, no_call), errors
     (joined by commas, empty if the arguments are valid) and message (canonical JSON). Null identifiers link with nothing and give rows of
-    their own; null contents and arguments are null in the message."""
+    their own; null contents and arguments are null in the message. Other columns are not read, texts of any length are kept whole, and
+    empty tables give none."""
+    if calls.schema["needs"].dataType.typeName() != "array":
+        calls = calls.withColumn("needs", F.when(F.col("needs").isNotNull(), F.array("needs")))
     c = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "needs")).alias("c"), F.count("*").alias("n_calls"))
     r = results.groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     # A null never equals a null here: each unknown identifier stays by itself.
@@ -129,8 +148,8 @@ ANSWER: Schemas = {"answer": {"prompt": ("string", True), "turn": ("integer", Tr
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations as calls and results: each user turn asks the tool "answer" and needs the call two turns before it, and
-    the assistant's next turn is the result. Rows without a conversation or a turn link with nothing and are left out."""
-    t = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    the assistant's next turn is the result. other_turns() tells of the rest."""
+    t = conversations.where(LINKABLE)
     id_ = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     calls = t.where("role = 'user'").select(
         "conv_id", id_(F.col("turn")).alias("call_id"), "turn", F.lit("answer").alias("name"),
@@ -140,13 +159,32 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+LINKABLE = "conv_id IS NOT NULL AND turn IS NOT NULL AND role IN ('user', 'assistant')"
+
+
+def other_turns(conversations: DataFrame) -> DataFrame:
+    """Turns that are neither calls nor results, as rows like those of link_calls: of other roles or none, without a conversation or a turn.
+    Each keeps its conv_id and turn, has status other, and its message holds content and role."""
+    none = lambda kind: F.lit(None).cast(kind)
+    json = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
+    zero = F.lit(0).cast("long")
+    rest = conversations.where(f"NOT coalesce({LINKABLE}, false)")
+    return rest.select(
+        "conv_id", none("string").alias("call_id"), "turn", none("long").alias("wave"), none("long").alias("position"), zero.alias("n_calls"), zero.alias("n_results"),
+        F.lit("other").alias("status"), F.lit("").alias("errors"), json.alias("message"),
+    )
+
+
+@tidy
 def op8_tool_calls(conversations: DataFrame) -> DataFrame:
+    """link_calls of from_turns, and other_turns: every turn has its place in some row, in the cases that those state. Repeated turns of
+    users and assistants are counted in one row; others have a row each."""
     calls, results = from_turns(conversations)
-    return link_calls(calls, results, ANSWER)
+    return link_calls(calls, results, ANSWER).unionByName(other_turns(conversations))
 
 
 OP8_SQL = """
-WITH RECURSIVE t AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+WITH RECURSIVE t AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IN ('user', 'assistant')),
 c AS (SELECT conv_id, turn, count(*) n_calls, arg_min(text, '{"turn":' || turn || coalesce(',"prompt":' || to_json(text)::varchar, '') || '}') AS prompt FROM t WHERE role = 'user' GROUP BY 1, 2),
 r AS (SELECT conv_id, turn - 1 AS turn, count(*) n_results, min(text) AS answer FROM t WHERE role = 'assistant' GROUP BY 1, 2),
 w(conv_id, turn, wave) AS (
@@ -159,4 +197,7 @@ SELECT b.conv_id, b.conv_id || ':' || k AS call_id, b.turn, wave, coalesce(n_cal
   '{"arguments":' || CASE WHEN n_calls IS NULL THEN 'null' ELSE '{' || coalesce('"prompt":' || to_json(prompt)::varchar || ',', '') || '"turn":' || b.turn || '}' END
   || ',"content":' || coalesce(to_json(answer)::varchar, 'null') || ',"id":"' || b.conv_id || ':' || k || '","name":' || CASE WHEN n_calls IS NULL THEN 'null' ELSE '"answer"' END || '}' AS message,
   CASE WHEN wave IS NOT NULL THEN row_number() OVER (PARTITION BY b.conv_id, wave IS NULL ORDER BY wave, b.turn, b.conv_id || ':' || k) END AS "position"
-FROM b LEFT JOIN w ON b.conv_id = w.conv_id AND b.turn = w.turn"""
+FROM b LEFT JOIN w ON b.conv_id = w.conv_id AND b.turn = w.turn
+UNION ALL BY NAME SELECT conv_id, NULL::varchar AS call_id, turn, NULL::bigint AS wave, 0 AS n_calls, 0 AS n_results, 'other' AS status, '' AS errors,
+  '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' AS message, NULL::bigint AS "position"
+FROM conversations WHERE NOT coalesce(conv_id IS NOT NULL AND turn IS NOT NULL AND role IN ('user', 'assistant'), false)"""

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import store
 
 WINDOW = 10
-#: Windows of a benchmark (a row of some 300 bytes each) up to which it travels to the documents; beyond, documents' shingles are shuffled.
-MAX_BROADCAST_WINDOWS = 500_000
+#: Bytes of a benchmark's windows (their letters and 200 for each) up to which they travel to the documents; beyond, documents' shingles are
+#: shuffled.
+MAX_BROADCAST_BYTES = 64_000_000
 # Fixed value: what stands between words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,12 +65,13 @@ def _side(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """docs (row: any columns in a struct, text) to one row for each of its heads (item null, end = number of words) and each occurrence
     of a window (item, pos: first word from 1, end: behind the last)."""
     w = store(_window_shingles(windows(benchmark, size)), "windows")
-    n_windows, single = w.select("item_id", "at", "w").distinct().count(), not w.where(F.size("w") == 1).isEmpty()
-    small = n_windows <= max_broadcast
+    letters = F.when(F.col("off") == 0, F.octet_length(F.concat_ws(" ", "w")) + 200)
+    n_bytes, n_single = w.agg(F.coalesce(F.sum(letters), F.lit(0)), F.count_if(F.size("w") == 1)).first()
+    small, single = n_bytes <= max_broadcast, n_single > 0
     a = docs.select("row", words(F.col("text")).alias("a"))
     spread = _positions(a, single).select("key")
     counted = spread.join(_side(w.select("key").distinct(), small), "key").groupBy("key").agg(F.count("*").alias("df"))
@@ -104,24 +106,27 @@ def _slices(spread: DataFrame, size: int) -> DataFrame:
     return spread.select("row", "pos", "key", F.slice("a", low + 1, 2 * size).alias("around"), (F.col("pos") - low).alias("size0"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """docs (doc_id, text, ...) to doc_id, n_words, n_hit, items (the item_ids as strings, sorted), contaminated, and fingerprint.
 
-    Rows with the same doc_id and the same text give one row (their result is the same); one doc_id with several texts gives a row for each.
-    An item_id with several texts stands for the windows of all of them. A null text has no words; null item_ids and empty items match nothing; with no items no document is hit. Other columns are not read."""
+    One row for each row: those that repeat doc_id and text are worked out together and told of as often as they stand there. An item_id
+    with several texts stands for the windows of all of them. A null or empty text has no words; null item_ids and empty items match
+    nothing; with no items no document is hit, and no documents give no rows. Other columns are not read."""
     bench = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
     row = F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("print"))
     hits = find_hits(docs.select(row.alias("row"), "text"), bench, size, max_broadcast)
     # Covered words: the starts in order, each adding what lies behind the furthest end so far. A document's own hits are all that one row holds.
     spans = F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("pos", "end"))))
     by = hits.groupBy("row").agg(
-        F.max(F.when(F.col("item_id").isNull(), F.col("end") - 1)).alias("n_words"),
+        F.max(F.when(F.col("pos") == 0, F.col("end") - 1)).alias("n_words"),
+        F.count_if(F.col("pos") == 0).alias("copies"),  # every row has a head
         spans.alias("spans"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
     step = lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["pos"], s["upto"]), F.lit(0))).alias("n"), F.greatest(s["upto"], x["end"]).alias("upto"))
     covered = F.aggregate("spans", zero, step)["n"]
+    by = by.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return by.select(
         F.col("row.doc_id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), "items",
         (F.size("spans") > 0).alias("contaminated"), F.col("row.print").alias("fingerprint"),
@@ -129,6 +134,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
 
 
 def op1_decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """decontaminate with windows of ten words, in the cases that it states, with the items as a digest."""
     d = decontaminate(documents, benchmark)
     return d.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"

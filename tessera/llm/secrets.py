@@ -35,10 +35,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def random_spans(text: str, n_tokens: Callable[[str], int], taken: list[tuple[int, int, str]], max_ratio: float = MAX_RATIO) -> list[tuple[int, int, str]]:
     """Candidates of few characters a token that no other span overlaps: text that a vocabulary has learned takes three and more."""
-    out = []
+    out, taken, at, reach = [], sorted(taken), 0, 0
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if DIGEST.match(s) or UUID.match(s) or any(a < m.end() and m.start() < b for a, b, _ in taken):
+        while at < len(taken) and taken[at][0] < m.end():  # spans that begin before the candidate ends, and how far they go
+            reach, at = max(reach, taken[at][1]), at + 1
+        if DIGEST.match(s) or UUID.match(s) or reach > m.start():
             continue
         if len(s) / n_tokens(s) < max_ratio:
             out.append((m.start(), m.end(), "random"))
@@ -68,9 +70,11 @@ RESULT = struct("n_assign long, n_access long, n_hex long, n_random long, base_s
 
 
 def scan_secrets(df: DataFrame, text: str = "text", redacted: bool = True, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """df's columns (those that the result has, give way) and n_assign, n_access, n_hex, n_random, base_sha256, spans, and with
-    redacted the text without its secrets. Every row gives one row, repeated ones too; a null text has no span and stays null."""
-    keep = [c for c in df.columns if c not in RESULT.fieldNames()]
+    """df's columns (those that the result has, in any case of letters, give way) and n_assign, n_access, n_hex, n_random, base_sha256, spans,
+    and with redacted the text without its secrets. Every row gives one row, repeated ones too; a null text has no span and stays null, an
+    empty one has none; texts of any length are scanned whole in time in proportion to them; an empty table gives none."""
+    taken = {c.lower() for c in RESULT.fieldNames()}
+    keep = [c for c in df.columns if c.lower() not in taken]
     cols = [f for f in RESULT if redacted or f.name != "redacted"]
     schema = type(RESULT)([*(df.schema[c] for c in keep), *cols])
 
@@ -92,6 +96,6 @@ def scan_secrets(df: DataFrame, text: str = "text", redacted: bool = True, ranks
 
 
 def op2_secrets(documents: DataFrame) -> DataFrame:
-    """The digest columns of the scan for each document."""
+    """The digest columns of the scan for each document, in the cases that scan_secrets states; a null text counts as empty."""
     found = scan_secrets(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), redacted=False)
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")

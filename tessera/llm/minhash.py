@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import map_batches, store, struct
+from tessera.llm.common import map_batches, store, struct, tidy
 from tessera.llm.components import components
 
 # Fixed value: A-Z to a-z, all other bytes as they are.
@@ -332,6 +332,7 @@ def _both(links: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if links is None else links.union(new)
 
 
+@tidy
 def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, miss: float = MISS) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_shingles, component_id, kept; other columns are not read. Words are what stands between ASCII white
     space, A-Z in lower case.

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import map_batches, store, struct
+from tessera.llm.common import map_batches, store, struct, tidy
 from tessera.llm.components import components
 
 THRESHOLD = 0.95
@@ -299,6 +299,7 @@ def products(tasks: DataFrame, threshold: float) -> DataFrame:
 LINKED = struct("cls long, others long, grp long, home long")
 
 
+@tidy
 def near_vectors(df: DataFrame, threshold: float = THRESHOLD, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """df (vec_id long, embedding array of numbers) to vec_id, n_links, component_id, kept; other columns are not read.
 

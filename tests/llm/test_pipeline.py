@@ -27,8 +27,8 @@ def near(text):
     return " ".join(w)
 
 
-def md5(text):
-    return "" if text is None else hashlib.md5(text.encode()).hexdigest()
+def fingerprint(text):
+    return "" if text is None else hashlib.sha256(text.encode()).hexdigest()
 
 
 def rows():
@@ -52,7 +52,7 @@ def pairs(df):
 
 
 def test_near_copies(spark, table):
-    order = lambda r: (r[0] is None, r[0] or 0, md5(r[1]))
+    order = lambda r: (r[0] is None, r[0] or 0, fingerprint(r[1]))
     all_ = sorted(set(pairs(table)), key=order)
     found = brute_documents([(k, t) for k, (_, t) in enumerate(all_)], size=5)
     got = pairs(C.without_near_copies(spark, table, SF))
@@ -83,3 +83,46 @@ def test_all_stages_keep_rows_without_an_id(spark, table, tmp_path):
     kept = [r for r in pairs(C.without_toxic(spark, table, SF)) if r[0] is None]
     assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
     assert len({t for _, t in kept}) >= got.where("doc_id IS NULL").count() > 1
+
+
+NAMES = {"score": "x", "Predicted": 1, "spans": "y", "n_tokens": 2, "redacted": "z", "_kept": 3, "_print": 4, "fingerprint": "f", "none": 5, "print": 6, "row": 7, "ids": 8}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in C.STAGES])
+def test_stages_with_clashing_columns_and_no_rows(spark, table, name):
+    """Columns of any name stay as they are, repeated rows and nulls pass, and an empty table gives none."""
+    more = table.where("doc_id IS NULL OR doc_id < 30").withColumns({n: F.lit(v) for n, v in NAMES.items()}).withColumn("n_words", F.hash("doc_id", "text"))
+    stage = dict(C.STAGES)[name]
+    got, plain = stage(spark, more, SF), stage(spark, more.select(*table.columns), SF)
+    assert pairs(plain.withColumn("text", F.col("ids") if name == "tokens" else F.col("text"))) == pairs(got.withColumn("text", F.col("ids") if name == "tokens" else F.col("text")))
+    if name != "tokens":
+        assert got.columns == more.columns and plain.columns == table.columns
+        assert got.where(" OR ".join(f"`{n}` <> '{v}'" for n, v in NAMES.items())).isEmpty()
+        if name != "secrets":
+            assert got.where("n_words <> hash(doc_id, text)").isEmpty()
+    assert stage(spark, more.where("doc_id < -1"), SF).count() == 0
+
+
+def test_pipeline_against_brute_force(spark):
+    """All stages over a whole table, each recomputed in plain Python from what the one before it kept."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = C.toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = []
+    for r in docs.collect():
+        counts, size = C.toxicity.count_terms(r["text"] or "")
+        if model.score({model.terms[t]: n for t, n in counts.items() if t in model.terms}, size) < 0.5:
+            rows.append((r["doc_id"], r["text"]))
+    assert 0.7 * docs.count() < len(rows) < docs.count()
+    found = brute_documents(rows, size=5)
+    rows = [r for r in rows if found[r[0]][1] == r[0]]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {i for i, _, n, _ in brute_hits(rows, items) if not n}
+    enc = bpe.load_encoding()
+    want = []
+    for i, t in rows:
+        if i in clean:
+            t = secrets.redact(t, secrets.find_spans(t, lambda s: len(enc.encode_ordinary(s))))
+            want.append((i, " ".join(map(str, enc.encode_ordinary(t)))))
+    got = C.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == sorted(want) and all(r["round_trip"] for r in got)

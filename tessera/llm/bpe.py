@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_batches, struct
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-CHUNKS, PIECES, PAIRS = 100_000, 100_000, 250_000  # entries of a worker's caches
+CHUNKS, PIECES = 60_000, 50_000  # entries of a worker's caches
 SHORT = 100  # letters up to which a chunk or piece is kept in them, so that entries bound bytes
 
 
@@ -42,7 +42,6 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.longest = ranks, max(map(len, ranks))
         self.tokens = {v: k for k, v in ranks.items()}
-        self.goes: dict[tuple[int, int], bool] = {}
         self.parts: dict[int, list[int]] = {}
         self.edges: dict[tuple[int, bool], tuple[list[bytes], list[int]]] = {}
 
@@ -78,29 +77,22 @@ class PrefixBPE:
             self.edges[t, right] = known
         return known
 
-    def joins(self, a: int, b: int) -> bool:
-        """Whether a merge crosses from a to b while both are merged from bytes. Merges go by rank and then from the left, so those within a go
-        before the crossing one of equal rank, and that goes before those within b."""
+    def is_pair(self, a: int, b: int) -> bool:
+        """Whether no merge crosses from a to b while both are merged from bytes. Merges go by rank and then from the left, so those within a
+        go before the crossing one of equal rank, and that goes before those within b."""
         (x, dx), (y, dy), get = self.edge(a, True), self.edge(b, False), self.ranks.get
         i = j = 0
         while True:
             cross = get(x[i] + y[j], 1 << 60)
             if cross < dx[i] and cross <= dy[j]:
-                return True
-            if i == len(x) - 1 and j == len(y) - 1:
                 return False
+            if i == len(x) - 1 and j == len(y) - 1:
+                return True
             if dx[i] <= dy[j]:
                 i += 1
             else:
                 j += 1
 
-    def is_pair(self, a: int, b: int) -> bool:
-        if (ok := self.goes.get((a, b))) is None:
-            if len(self.goes) >= PAIRS:
-                self.goes.clear()
-            ok = self.goes[a, b] = not self.joins(a, b)
-        return ok
-
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> None:
         """Appends the last tokens of data's prefixes beyond those that last has already."""
         get, longest = self.ranks.get, self.longest
@@ -164,7 +156,7 @@ class BatchBPE:
     """The same prefix tables for many short pieces at once: numpy walks a trie of the tokens from each start in all pieces."""
 
     LONGEST = 48  # pieces beyond go one by one
-    SLOTS = 1 << 20  # of a direct-mapped memory of pairs, behind which stands the dict of PrefixBPE
+    SLOTS = 1 << 19  # of a direct-mapped memory of pairs, behind which stands PrefixBPE
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bpe = bpe = PrefixBPE(ranks)
@@ -175,14 +167,19 @@ class BatchBPE:
         for k, _ in valid:
             for i in range(1, len(k) + 1):
                 states.setdefault(k[:i], len(states) + 1)
-        inner = sorted({states[k[:-1]] for k in states if k})
+        above = np.array([0, 0, *(states[k[:-1]] for k in states if k)])  # of each state; most that lead on lead to one other alone
+        leads = np.bincount(above, minlength=len(states) + 1)
+        wide = np.flatnonzero(leads[1:] > 1) + 1
         self.row = np.zeros(len(states) + 1, np.int32)
-        self.row[inner] = np.arange(1, len(inner) + 1)
-        self.next = np.zeros((len(inner) + 1, 256), np.int32)
+        self.row[wide] = np.arange(1, len(wide) + 1)
+        self.next = np.zeros((len(wide) + 1, 256), np.int32)
+        self.only, self.then = np.full(len(states) + 1, -1, np.int16), np.zeros(len(states) + 1, np.int32)
         self.token = np.full(len(states) + 1, -1, np.int32)
         for k, s in states.items():
-            if k:
-                self.next[self.row[states[k[:-1]]], k[-1]] = s
+            if k and leads[up := above[s]] > 1:
+                self.next[self.row[up], k[-1]] = s
+            elif k:
+                self.only[up], self.then[up] = k[-1], s
         self.token[[states[k] for k, _ in valid]] = [v for _, v in valid]
         self.known, self.verdict = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool)
 
@@ -237,7 +234,8 @@ class BatchBPE:
                 if len(rows) and rows[-1] >= reach[d]:
                     stay = rows < reach[d]
                     rows, state = rows[stay], state[stay]
-                state = self.next[self.row[state], text[rows, d]]
+                byte = text[rows, d]
+                state = np.where(self.only[state] == byte, self.then[state], self.next[self.row[state], byte])
                 live = state > 0
                 rows, state = rows[live], state[live]
                 if not len(rows):
@@ -366,7 +364,7 @@ def encode_texts(df: DataFrame, text: str = "text", ranks: str = DEFAULT_RANKS,
 
         return some
 
-    return map_batches(df.select(*keep), make, schema, mb=3)
+    return map_batches(df.select(*keep), make, schema, mb=1.5)
 
 
 def op3_bpe(documents: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[tuple]]], schema: T.StructType, mb: float = 8) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[list[dict]], list[tuple]]], schema: T.StructType, mb: float = 2) -> DataFrame:
     """df through a function from some rows (about mb MB, dicts) to output tuples. make() runs once a task and may hold caches."""
     arrow = to_arrow_schema(schema)
 

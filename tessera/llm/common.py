@@ -69,9 +69,12 @@ def note(path: str) -> str:
     return path
 
 
-def store(df: DataFrame, kind: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
+def store(df: DataFrame, kind: str, rows: int | None = None, per: int = 20_000) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors cost nothing. rows: how many it has
+    at most, if that is known; then it goes to a file for each per of them, and not to one for each partition of its last shuffle."""
     path = note(fresh_dir(df.sparkSession, kind))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,8 +32,9 @@ BANDS, ROWS, BATCH = 30, 5, 30  # at a similarity of 0.8, no band is shared with
 MISS = 1e-6  # posterior below which a pair is given up
 PERCENT, SIZE = 80, 5
 LEADERS = 2  # rounds in which buckets are compared with one leader
-SMALL, BLOCK = 24, 100  # members of a bucket whose pairs are listed; members of a home and guests that meet there at a time
-WAVE = 4  # survivors of two components in a block that are verified first; each further wave has four times as many
+SMALL = 24  # members of a bucket whose pairs are listed
+BLOCK, BLOCK_BYTES = 400, 4 << 20  # members of a home's block and guests that meet there at a time, and bytes of the sets of either
+PER_TASK = 4000  # pairs that a task verifies, where their number is known to be small
 MB = 1  # text that is made into sets at a time
 PIECE = 1 << 19  # bytes whose words are hashed at a time
 MAX_BROADCAST_IDS = 200_000  # classes (some 50 bytes each) up to which they travel to the texts
@@ -265,16 +266,22 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return other.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks() -> Column:
+    """Into how many blocks a group's members go, by their number and by the bytes of their sets."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("long")
+
+
+def _meetings(members: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(home, visits) of the members of larger buckets, without listing pairs.
 
-    Every member has a home (cls, comp, h, part): a block of about BLOCK members of its largest bucket. Members outside a bucket's largest
+    Every member has a home (cls, comp, h, part): a block of members of its largest bucket. Members outside a bucket's largest
     component visit (cls, comp, h, part) the homes of all that share a bucket with them, once each: where a bucket's members live in half
     the blocks of a home's bucket or more, all of its blocks, so the buckets that lead there are merged before the blocks are told apart."""
     big = store(members.where(F.col("m") > SMALL), "large")
-    home = big.groupBy("cls", "comp").agg(F.max(F.struct("m", "key")).alias("h"))
-    blocks = F.ceil(F.col("h.m") / BLOCK).cast("long")
-    home = store(home.select("cls", "comp", F.col("h.key").alias("h"), F.pmod(F.xxhash64("cls"), blocks).alias("part")), "home")
+    home = big.groupBy("cls", "comp").agg(F.max(F.struct("m", "key")).alias("h")).select("cls", "comp", F.col("h.key").alias("h"))
+    home = store(home.join(reps.select("cls", "n_shingles"), "cls"), "homes")
+    home = home.join(home.groupBy("h").agg(_blocks().alias("of")), "h").withColumn("part", F.pmod(F.xxhash64("cls"), "of"))
+    home = store(home.select("cls", "comp", "h", "part", "n_shingles"), "home")
     homes = store(big.select("key", "cls").join(home.select("cls", "h", "part"), "cls").select("key", "h", "part").distinct(), "homes")
     parts = home.select("h", "part").distinct()
     there, all_ = homes.groupBy("key", "h").agg(F.count("*").alias("n")), parts.groupBy("h").agg(F.count("*").alias("of"))
@@ -282,54 +289,90 @@ def _meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     guests = big.where(F.col("comp") != F.col("most")).select("key", "cls", "comp")
     whole = guests.join(most, "key").select("cls", "comp", "h").distinct().join(parts, "h").select("cls", "comp", "h", "part")
     some = guests.join(homes.join(most, ["key", "h"], "left_anti"), "key").select("cls", "comp", "h", "part")
-    return home, store(whole.union(some).distinct(), "visits")
-
-
-def _met(home: DataFrame, visits: DataFrame, reps: DataFrame, comps: DataFrame | None, wave: int, percent: int, miss: float) -> DataFrame:
-    """The pairs of a wave (a, b, more: whether a further wave has some): in each home, guests in blocks of about BLOCK and residents of other
-    components are compared by signature. Of the survivors of two components, those that agree most come in the first wave, WAVE in number,
-    and four times as many in each further one, unless their components have become one (now) meanwhile."""
-    low, high = (0 if not wave else WAVE * (4**wave - 1) // 3), WAVE * (4 ** (wave + 1) - 1) // 3
-    now = F.coalesce("component", "comp") if comps is not None else F.col("comp")
-    about = reps.select("cls", "sig", "n_shingles")
-    full = lambda d: (d.join(comps.select(F.col("id").alias("comp"), "component"), "comp", "left") if comps is not None else d).join(about, "cls").withColumn("now", now)
-    item = F.struct("cls", "comp", "now", F.col("n_shingles").alias("n"), "sig")
-    count = visits.groupBy("h", "part").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("of"))
-    come = full(visits.join(count, ["h", "part"])).groupBy("h", "part", F.pmod(F.xxhash64("cls", F.lit(5)), "of").alias("sub")).agg(F.collect_list(item).alias("x"))
-    live = full(home.join(count.select("h", "part"), ["h", "part"])).groupBy("h", "part").agg(F.collect_list(item).alias("y"))
-    arrow = to_arrow_schema(MET)
+    return home, store(whole.union(some).distinct().join(reps.select("cls", "n_shingles"), "cls"), "visits")
+
+
+def hashed_sets(words: DataFrame, size: int) -> DataFrame:
+    """words (cls, words) to the stored (cls, set: sorted 64-bit hashes), by which a meeting tells which pairs are worth verifying."""
+
+    def make() -> Callable[[list[dict]], list[tuple]]:
+        def some(rows: list[dict]) -> list[tuple]:
+            sets = shingle_sets([r["words"].decode() for r in rows], size)
+            return [(r["cls"], s.tobytes()) for r, s in zip(rows, sets, strict=True)]
+
+        return some
+
+    return store(map_batches(words, make, struct("cls long, set binary"), MB), "sets")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many hashes the sets x[i] and y[j] have in common. Each x[i] is marked among all hashes of y once."""
+    names, flat = np.unique(np.concatenate(y), return_inverse=True)
+    first = np.cumsum([0, *(len(s) for s in y[:-1])])
+    out, mark = np.zeros(len(i), np.int64), np.zeros(len(names), np.int64)
+    for k in np.unique(i).tolist():
+        at = np.minimum(np.searchsorted(names, x[k]), len(names) - 1)
+        at = at[names[at] == x[k]]
+        mark[at] = 1
+        mine = i == k
+        out[mine] = np.add.reduceat(mark[flat], first)[j[mine]]
+        mark[at] = 0
+    return out
+
+
+def _forest(a: list[int], b: list[int]) -> list[int]:
+    """Which of the pairs, in their order, lead from one component to another that those before did not yet."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (n := up.get(c, c)) != c:
+            up[c] = c = up.get(n, n)
+        return c
+
+    out = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            up[x] = y
+            out.append(k)
+    return out
+
+
+def _met(home: DataFrame, visits: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(a, b) that are worth verifying: in each home, guests in blocks and residents of other components are compared by
+    signature, and what survives by the hashes of the sets; of the pairs that are similar by these, those that join components which
+    others before them don't join, so a meeting gives fewer pairs than it has members."""
+    about = reps.select("cls", "sig").join(sets, "cls")
+    item = F.struct("cls", "comp", "sig", "set")
+    count = visits.groupBy("h", "part").agg(_blocks().alias("of"))
+    come = visits.join(count, ["h", "part"]).join(about, "cls")
+    come = come.groupBy("h", "part", F.pmod(F.xxhash64("cls", F.lit(5)), "of").alias("sub")).agg(F.collect_list(item).alias("x"))
+    live = home.join(count.select("h", "part"), ["h", "part"]).join(about, "cls").groupBy("h", "part").agg(F.collect_list(item).alias("y"))
+    arrow = to_arrow_schema(PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 sides = []
                 for c in ("x", "y"):
-                    cls, comp, is_, n, sig = batch.column(c)[k].values.flatten()
-                    sides.append((cls.to_numpy(), comp.to_numpy(), is_.to_numpy(), n.to_numpy(), sig.flatten().to_numpy().reshape(len(cls), -1)))
-                (ax, cx, wx, nx, sx), (by, cy, wy, ny, sy) = sides
-                fit = (wx[:, None] != wy[None, :]) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
+                    cls, comp, sig, full = batch.column(c)[k].values.flatten()
+                    sides.append((cls.to_numpy(), comp.to_numpy(), sig.flatten().to_numpy().reshape(len(cls), -1), [np.frombuffer(v, np.uint64) for v in full.to_pylist()]))
+                (ax, cx, sx, fx), (by, cy, sy, fy) = sides
+                nx, ny = (np.array([len(v) for v in f]) for f in (fx, fy))
+                fit = (cx[:, None] != cy[None, :]) & (100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny))
                 i, j = np.nonzero(fit)
-                keep = [part[survivors(sx[i[part]], sy[j[part]], percent, miss)] for part in np.array_split(np.arange(len(i)), -(-len(i) // 2048) or 1)]
-                keep = np.concatenate(keep)
-                i, j = i[keep], j[keep]
-                agree = -(sx[i] == sy[j]).sum(1)
-                order = np.lexsort((by[j], ax[i], agree, cy[j], cx[i]))
-                i, j = i[order], j[order]
-                new = np.concatenate(([True], (cx[i[1:]] != cx[i[:-1]]) | (cy[j[1:]] != cy[j[:-1]]))) if len(i) else np.zeros(0, bool)
-                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) if len(i) else np.zeros(0, int)
-                due = (rank >= low) & (rank < high)
-                if due.any():
-                    cols = ax[i[due]], by[j[due]], np.full(int(due.sum()), bool((rank >= high).any()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
-
-    return come.join(live, ["h", "part"]).select("x", "y").mapInArrow(run, MET)
-
+                keep = [some[survivors(sx[i[some]], sy[j[some]], percent, miss)] for some in np.array_split(np.arange(len(i)), -(-len(i) // 2048) or 1)]
+                i, j = (v[np.concatenate(keep)] for v in (i, j))
+                if len(i):
+                    both = common_counts(fx, fy, i, j)
+                    near = 100 * both >= percent * (nx[i] + ny[j] - both)
+                    i, j = i[near], j[near]
+                    due = _forest(cx[i].tolist(), cy[j].tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array(ax[i[due]]), pa.array(by[j[due]])], schema=arrow)
 
-MET = struct("a long, b long, more boolean")
+    return come.join(live, ["h", "part"]).select("x", "y").mapInArrow(run, PAIRS)
 
 
-def _both(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    return new if links is None else links.union(new)
+PAIRS = struct("a long, b long")
 
 
 @tidy
@@ -350,28 +393,32 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, mi
     reps = store(reps.select("cls", "rep", "high", "low", "n_shingles", "sig"), "reps")
     buckets = store(bucket_table(reps), "buckets")
     words = full_words(buckets.select("cls"), reps, d)
-    links, comps = None, None
-    merged = lambda: components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    links, comps, most = None, None, buckets.count()
+
+    def merged(pairs: DataFrame, n: int | None) -> None:
+        """Verifies pairs (n at most, if that is known); what is linked changes the components."""
+        nonlocal links, comps
+        new = store(verify(pairs, words, percent, size), "links", n, PER_TASK)
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comps = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
     for step in range(LEADERS + 1):
-        members = store(_unsettled(_label(buckets, comps)), "members")
+        members = store(_unsettled(_label(buckets, comps)), "members", most)
         if step:
             members = members.where("m > 2")  # a pair alone has been compared
         if members.isEmpty():
             break
-        listed = _leader_pairs(members, step) if step < LEADERS else _small_pairs(members)
-        links = _both(links, store(verify(store(prune(listed, reps, percent, miss), "pairs"), words, percent, size), "links"))
-        comps = merged()
+        listed, n = (_leader_pairs(members, step), most) if step < LEADERS else (_small_pairs(members), SMALL * most)
+        pairs = store(prune(listed, reps, percent, miss), "pairs", n)
+        merged(pairs, pairs.count())
     else:
-        home, visits = _meetings(members)
-        since, wave = None, 0  # since: by the components that home and visits tell of, what they have become
-        while not visits.isEmpty():
-            met = store(_met(home, visits, reps, since, wave, percent, miss), "met")
-            links = _both(links, store(verify(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words, percent, size), "links"))
-            comps, wave = merged(), wave + 1
-            if met.where("more").isEmpty():
-                break
-            since = home.select("cls", "comp").union(visits.select("cls", "comp")).distinct().join(comps.withColumnRenamed("id", "cls"), "cls")
-            since = store(since.groupBy(F.col("comp").alias("id")).agg(F.min("component").alias("component")), "since")
+        home, visits = _meetings(members, reps)
+        if not visits.isEmpty():
+            sets = hashed_sets(words.join(home.select("cls"), "cls"), size)
+            met = _met(home, visits, reps, sets, percent, miss).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            met = store(met, "met")
+            merged(met, met.count())
     ids = reps.select("cls", "rep")
     if comps is not None:
         known = ids.join(comps.withColumnRenamed("id", "cls"), "cls")

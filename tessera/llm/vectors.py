@@ -220,8 +220,8 @@ def cosines(pairs: DataFrame) -> DataFrame:
     return pairs.select(*keep, "ua", "ub").mapInArrow(run, schema)
 
 
-def gather(codes: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(cls, grp, cos) of all classes: grp is the class of its leader, cos its cosine with it. In a round every bucket's class of least
+def gather(codes: DataFrame, n: int, width: int, threshold: float) -> DataFrame:
+    """(cls, grp, cos) of all n classes: grp is the class of its leader, cos its cosine with it. In a round every bucket's class of least
     order leads; a class that none leads is a leader for good, and each class goes to the nearest of those that lead it, at the
     threshold at least. The rest meet again without them, until a round gathers none; what no leader takes leads itself."""
     theta = F.lit(float(np.arccos(threshold)))
@@ -238,12 +238,12 @@ def gather(codes: DataFrame, width: int, threshold: float) -> DataFrame:
         # Whoever is led by none leads for good.
         free = led.join(led.select(F.col("cls").alias("lead")).distinct(), "lead", "left_anti")
         new = free.groupBy("cls").agg(F.max(F.struct("cos", "lead")).alias("best")).select("cls", F.col("best.lead").alias("grp"), F.col("best.cos").alias("cos"))
-        new = store(new, "gathered")
+        new = store(new, "gathered", n)
         if new.isEmpty():
             break
         taken = new if taken is None else taken.union(new)
         gone = new.select("cls").union(new.select("grp")).distinct()
-        left = store(left.join(gone, "cls", "left_anti"), "left")
+        left = store(left.join(gone, "cls", "left_anti"), "left", n)
     own = codes.select("cls", F.col("cls").alias("grp"), F.lit(1.0).alias("cos"))
     return own if taken is None else taken.unionByName(own.join(taken.select("cls"), "cls", "left_anti"))
 
@@ -321,11 +321,11 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, max_sample: int =
         classes = store(classes.withColumnRenamed("cls", "low").withColumn("cls", F.monotonically_increasing_id()), "classes")
     width = key_bits(n_classes)
     codes = store(coded(classes, learn(classes, width, threshold, max_sample), width, threshold), "codes")
-    members = store(gather(codes, width, threshold).join(codes.select("cls", "n", "order"), "cls"), "members")
+    members = store(gather(codes, n_classes, width, threshold).join(codes.select("cls", "n", "order"), "cls"), "members", n_classes)
     told = members.groupBy("grp").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("cos").alias("cos"))
     radius = F.when(F.col("size") == 1, F.lit(0.0)).otherwise(F.acos(F.least(F.col("cos"), F.lit(1.0))) + EPS)
     leaders = codes.select(F.col("cls").alias("grp"), "dim", "code", "unit")
-    groups = store(told.withColumn("radius", radius).join(leaders, "grp"), "groups")
+    groups = store(told.withColumn("radius", radius).join(leaders, "grp"), "groups", n_classes)
     close = store(close_groups(codes, members, groups, width, threshold), "close")
 
     tight = 2 * F.col("radius") <= float(np.arccos(threshold)) - EPS  # all of such a group are linked

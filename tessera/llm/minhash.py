@@ -410,7 +410,7 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, mi
         if members.isEmpty():
             break
         listed, n = (_leader_pairs(members, step), most) if step < LEADERS else (_small_pairs(members), SMALL * most)
-        pairs = store(prune(listed, reps, percent, miss), "pairs", n)
+        pairs = store(prune(listed, reps, percent, miss), "pairs", n, PER_TASK)
         merged(pairs, pairs.count())
     else:
         home, visits = _meetings(members, reps)
@@ -435,3 +435,20 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, mi
 def op5_near_documents(documents: DataFrame) -> DataFrame:
     """near_documents with shingles of two words, in the cases that it states."""
     return near_documents(documents, size=2)
+
+
+#: All pairs of documents that share a shingle, by their full sets, and the least doc_id that links lead to. Of two similar sets the smaller has
+#: four fifths of the larger, so they share one of the rarest fifth of shingles of either, which keeps the pairs few.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN CASE WHEN len(w) = 1 THEN [w[1]] ELSE [] END ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) x FROM d),
+e AS (SELECT doc_id, len(x) n, unnest(x) g FROM s),
+f AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) OVER (PARTITION BY g), g) k FROM e),
+p AS (SELECT doc_id, n, g FROM f WHERE k <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.doc_id a, b.doc_id b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+m AS (SELECT a, b, len(x.x) + len(y.x) total, len(list_intersect(x.x, y.x)) shared FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b),
+h AS (SELECT a, b FROM m WHERE 100 * shared >= 80 * (total - shared)),
+l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+t AS (SELECT a, min(b) low FROM r GROUP BY 1)
+SELECT doc_id, len(x)::BIGINT n_shingles, least(doc_id, coalesce(low, doc_id)) component_id, doc_id <= coalesce(low, doc_id) kept FROM s LEFT JOIN t ON doc_id = a"""

@@ -25,4 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": _over(toxicity.op9_toxicity, "documents", "labels"),
     "op10_token_counts": _over(separators.op10_token_counts, "documents"),
 }
-SQL: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op8_tool_calls": toolcalls.OP8_SQL}
+SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.OP1_SQL, "op4_embedding_dedup": vectors.OP4_SQL, "op5_minhash_dedup": minhash.OP5_SQL, "op8_tool_calls": toolcalls.OP8_SQL,
+}

@@ -367,3 +367,15 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, max_sample: int =
 def op4_near_vectors(embeddings: DataFrame) -> DataFrame:
     """near_vectors with its defaults: the rows of embeddings whatever their labels, in the cases that near_vectors states."""
     return near_vectors(embeddings)
+
+
+#: All pairs of vectors by their cosine, and the least vec_id that links lead to.
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id a, b.vec_id b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) n FROM l GROUP BY 1),
+c AS (SELECT a, min(b) low FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT n_links, least(vec_id, coalesce(low, vec_id)) component_id, vec_id <= coalesce(low, vec_id) kept
+FROM v LEFT JOIN n ON vec_id = n.a LEFT JOIN c ON vec_id = c.a"""

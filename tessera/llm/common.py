@@ -69,13 +69,17 @@ def note(path: str) -> str:
     return path
 
 
+def files_of(df: DataFrame, rows: int, per: int = 20_000) -> DataFrame:
+    """df, which has so many rows at most, in a partition for each per of them and not in one for each of its last shuffle: many small files
+    cost more than they hold."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def store(df: DataFrame, kind: str, rows: int | None = None, per: int = 20_000) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its lineage ends there, and lost executors cost nothing. rows: how many it has
-    at most, if that is known; then it goes to a file for each per of them, and not to one for each partition of its last shuffle."""
+    at most, if that is known, for files_of()."""
     path = note(fresh_dir(df.sparkSession, kind))
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // per)))
-    df.write.parquet(path)
+    (df if rows is None else files_of(df, rows, per)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

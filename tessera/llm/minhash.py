@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import map_batches, store, struct, tidy
+from tessera.llm.common import files_of, map_batches, store, struct, tidy
 from tessera.llm.components import components
 
 # Fixed value: A-Z to a-z, all other bytes as they are.
@@ -429,7 +429,7 @@ def near_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, mi
         ids = ids.select("cls", F.col("rep").alias("component_id"))
     ids = classes.join(ids, "cls").select("high", "low", "component_id")
     out = rows.select("doc_id", "n_shingles", "high", "low").join(ids, ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return files_of(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), rows.count())
 
 
 def op5_near_documents(documents: DataFrame) -> DataFrame:
@@ -443,7 +443,8 @@ OP5_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN CASE WHEN len(w) = 1 THEN [w[1]] ELSE [] END ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) x FROM d),
 e AS (SELECT doc_id, len(x) n, unnest(x) g FROM s),
-f AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) OVER (PARTITION BY g), g) k FROM e),
+q AS (SELECT *, count(*) OVER (PARTITION BY g) often FROM e),
+f AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY often, g) k FROM q),
 p AS (SELECT doc_id, n, g FROM f WHERE k <= n - ceil(0.8 * n) + 1),
 c AS (SELECT DISTINCT a.doc_id a, b.doc_id b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
 m AS (SELECT a, b, len(x.x) + len(y.x) total, len(list_intersect(x.x, y.x)) shared FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b),

@@ -25,6 +25,7 @@ from tessera.llm.words import WORD_BPE, word_encoder
 MAGIC = b"TESSPK02"
 BLOCK_IDS = 1 << 20
 END_ID = 1
+FILES = 3  # that a task reads back
 HEAD = 17  # bytes of a block for each document, before its ids
 
 
@@ -165,7 +166,7 @@ def write_packed(df: DataFrame, folder: str, text: str = "text", key: str = "doc
     fs.create_dir(path, recursive=True)
     spark.sparkContext.setJobDescription("write packed token files")
     try:
-        return store(ordered.mapInArrow(run, MANIFEST), "manifest")
+        return store(ordered.mapInArrow(run, MANIFEST).repartition(1), "manifest")  # a row a file
     finally:
         spark.sparkContext.setJobDescription(None)
 
@@ -191,7 +192,9 @@ def read_packed(manifest: DataFrame) -> DataFrame:
 
         return one
 
-    return map_rows(spread(files, manifest.count(), "part"), make, DOCUMENTS)
+    n, docs = manifest.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0))).first()
+    rows = map_rows(spread(files, -(-n // FILES), "part"), make, DOCUMENTS)
+    return rows.repartition(max(1, -(-docs // 500_000)))  # four numbers a document, read by many tasks, go to few files
 
 
 @tidy

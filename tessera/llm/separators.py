@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import file_system, fresh_dir, map_rows, note, spread, store, struct, tidy
+from tessera.llm.common import file_system, files_of, fresh_dir, map_rows, note, spread, store, struct, tidy
 from tessera.llm.words import WORD_BPE, word_encoder
 
 END_OF_DOCUMENT = 49407
@@ -111,7 +111,7 @@ def count_tokens(files: DataFrame, end_id: int = END_OF_DOCUMENT, width: int = 2
     )
 
 
-def files_of(places: DataFrame) -> DataFrame:
+def flat_sizes(places: DataFrame) -> DataFrame:
     return places.groupBy("uri").agg(F.max("bytes").alias("bytes"))
 
 
@@ -130,5 +130,6 @@ def op10_token_counts(documents: DataFrame) -> DataFrame:
     doc_ids and repeated rows too; null and empty texts have 0; an empty table gives none; other columns are not read. The files go once
     the result is stored."""
     places = write_flat(documents, note(fresh_dir(documents.sparkSession, "flat")))
-    counts = count_tokens(files_of(places))
-    return counts.where("closed").join(places.select("uri", "ordinal", "doc_id"), ["uri", "ordinal"]).select("doc_id", "n_tokens")
+    counts = count_tokens(flat_sizes(places))
+    named = counts.where("closed").join(places.select("uri", "ordinal", "doc_id"), ["uri", "ordinal"]).select("doc_id", "n_tokens")
+    return files_of(named, places.count())

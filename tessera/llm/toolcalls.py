@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_dir, note, store, tidy
+from tessera.llm.common import files_of, fresh_dir, note, store, tidy
 
 #: A schema: for each argument its type and whether it must be there; other arguments are errors.
 Schemas = Mapping[str, Mapping[str, tuple[str, bool]]]
@@ -180,7 +180,7 @@ def op8_tool_calls(conversations: DataFrame) -> DataFrame:
     """link_calls of from_turns, and other_turns: every turn has its place in some row, in the cases that those state. Repeated turns of
     users and assistants are counted in one row; others have a row each."""
     calls, results = from_turns(conversations)
-    return link_calls(calls, results, ANSWER).unionByName(other_turns(conversations))
+    return files_of(link_calls(calls, results, ANSWER).unionByName(other_turns(conversations)), conversations.count(), 5000)
 
 
 OP8_SQL = """

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.common import map_batches, store, struct, tidy
+from tessera.llm.common import files_of, map_batches, store, struct, tidy
 from tessera.llm.components import components
 
 THRESHOLD = 0.95
@@ -361,7 +361,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, max_sample: int =
     lows = classes.select("cls", "low").join(by.select("cls", "label"), "cls").groupBy("label").agg(F.min("low").alias("component_id"))
     by = classes.join(by, "cls").join(lows, "label").select("v", "n_links", "component_id")
     out = good.join(by, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return out.unionByName(lone)
+    return files_of(out.unionByName(lone), rows.count())
 
 
 def op4_near_vectors(embeddings: DataFrame) -> DataFrame:

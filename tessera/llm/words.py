@@ -13,7 +13,8 @@ import numpy as np
 import public_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
-CHUNKS, PIECES = 500_000, 200_000  # entries of a worker's caches
+CHUNKS = 400_000  # entries of a worker's cache
+MARKS = ".,;:!?"
 
 # The byte-level alphabet, in which printable bytes stand for themselves and the rest follow from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -30,8 +31,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = not special
         self.vocab_size = self.tokenizer.get_vocab_size()
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.vocab_size)]
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -41,34 +42,25 @@ class WordEncoder:
         plain = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
         if len(plain) != len(words):
             return self._whole(words)
-        tokenize, out = self.tokenizer.model.tokenize, []
+        tokenize, of, out = self.tokenizer.model.tokenize, self.bytes_of, []
         for w, p in zip(words, plain, strict=True):
             if not p.isalpha():
                 out += self._whole([w])
                 continue
             s = p if p.isascii() else p.encode().decode("latin-1").translate(ALPHABET)
-            out.append(b"".join([t.id.to_bytes(4, "little") for t in tokenize(s)]))
+            out.append(b"".join([of[t.id] for t in tokenize(s)]))
         return out
 
     def _learn(self, need: set[str]) -> None:
-        split: dict[str, tuple[str, ...]] = {}
-        for c in need:
-            if c.isalpha():
-                split[c] = (c,)
-            elif c and c[-1] in ".,;:!?" and c[:-1].isalpha() and (c.isascii() or normalize("NFC", c[:-1]).lower().isalpha()):
-                split[c] = (c[:-1], c[-1])
-        used = {p for ps in split.values() for p in ps}
-        new = used - self.pieces.keys()
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces = {p: self.pieces[p] for p in used - new}
-        words = [p for p in new if p.isalpha()]
-        marks = [p for p in new if not p.isalpha()]
-        self.pieces |= dict(zip(words, self._letters(words), strict=True)) if words else {}
-        self.pieces |= dict(zip(marks, self._whole(marks), strict=True)) if marks else {}
-        for c, ps in split.items():
-            self.chunks[c] = self.pieces[ps[0]] if len(ps) == 1 else self.pieces[ps[0]] + self.pieces[ps[1]]
-        rest = [c for c in need if c not in split]
-        self.chunks |= dict(zip(rest, self._whole(rest), strict=True)) if rest else {}
+        known = self.chunks
+        plain = set(filter(str.isalpha, need))
+        other = need - plain
+        marked = {c: c[:-1] for c in other if c and c[-1] in MARKS and c[:-1].isalpha() and (c.isascii() or normalize("NFC", c[:-1]).lower().isalpha())}
+        words = list(plain.union(marked.values()) - known.keys())
+        known.update(zip(words, self._letters(words), strict=True) if words else ())
+        rest = list((other - marked.keys()).union({c[-1] for c in marked} - known.keys()))
+        known.update(zip(rest, self._whole(rest), strict=True) if rest else ())
+        known.update((c, known[w] + known[c[-1]]) for c, w in marked.items())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]

@@ -481,16 +481,19 @@ def test_pack_bits(tmp_path):
     assert r.document(0, 7).tolist() == list(range(70)) and r.block(0)[0] == [*range(9), None]
 
 
-def test_files_are_read_by_many_tasks_and_go(spark, tmp_path):
+def test_files_are_read_by_many_tasks_and_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packed, "FILES", 1)
     d = docs(spark)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
         manifest = packed.write_packed(d.union(d.withColumn("doc_id", d.doc_id * 0 + 5)).repartition(9), f"file://{tmp_path}/packed")
         files = manifest.count()
-        assert files > 1 and packed.read_packed(manifest).rdd.getNumPartitions() == min(files, 7)
+        assert files > 1
+        tasks = separators.spread(manifest, files, "part").rdd.getNumPartitions()
+        assert tasks == min(7, files) and packed.read_packed(manifest).count() == 2 * d.count()
         places = separators.write_flat(d, f"file://{tmp_path}/flat")
-        assert separators.search_blocks(separators.files_of(places), 9, 2, 1 << 12).rdd.getNumPartitions() == 7
+        assert separators.search_blocks(separators.flat_sizes(places), 9, 2, 1 << 12).rdd.getNumPartitions() == 7
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     shared = "/" + scratch_dir(spark).removeprefix("file:").lstrip("/")

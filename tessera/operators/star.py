@@ -22,7 +22,8 @@ def job_skills(
     words = S.ngram_tokens(words, ngrams) if ngrams > 1 else words
     found = [*dictionary, *(synonyms if ngrams > 1 else ())]
     keep = [c for c in ("source", "job_id", "ingestion_date", "posted_at") if c in jobs.columns]
-    raw = jobs.select(*keep, words.alias("_tokens"))
+    told = sorted({*found, *dictionary, *synonyms.values()})  # only these are looked for or counted, so only these go along with each skill
+    raw = jobs.select(*keep, F.filter(words, lambda t: t.isin(told)).alias("_tokens"))
     raw = raw.withColumn("_skills", S.normalize_skills(S.extract_skills(F.col("_tokens"), found), synonyms))
     return raw.select(*keep, "_tokens", F.explode("_skills").alias("skills")).select(
         *keep,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -67,7 +68,10 @@ class Stage:
     may_be_empty: tuple[str, ...] = ()
     metrics: Callable[[Config, dict[str, DataFrame]], DataFrame] | None = None
 
-    def read(self, spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
+    def read(self, spark: SparkSession, cfg: Config, new: dict[str, dict[str, int]] | None = None) -> dict[str, DataFrame]:
+        """The inputs; an incremental stage's are pruned to the dates that are new or have late files, which new gets by input. Such dates are read
+        whole and replace what an earlier run wrote for them."""
+        new = {} if new is None else new
         if missing := scans.missing_inputs(spark, *(cfg.path(n) for n in self.inputs)):
             raise FileNotFoundError(f"missing inputs: {', '.join(missing)}")
         out = {}
@@ -75,7 +79,8 @@ class Stage:
             d = tables.REGISTRY[name]
             df = scans.scan(spark, cfg.path(name), d.fmt, None if d.fmt == "parquet" else T.StructType([*d.schema, T.StructField("ingestion_date", T.DateType())]))
             if self.incremental and d.partition_by:
-                df = scans.unprocessed(df, d.partition_by[0], scans.read_ledger(spark, f"{cfg.root}/_ledger"), self.name, name)
+                new[name] = scans.new_partitions(spark, cfg.path(name), d.partition_by[0], scans.read_ledger(spark, f"{cfg.root}/_ledger"), self.name, name)
+                df = scans.scan_dates(df, d.partition_by[0], new[name])
             if self.windowed:
                 df = scans.scan_window(df, d.window_column, cfg.run_ts.astimezone(UTC).replace(tzinfo=None), cfg.window_days)
             out[name] = df
@@ -84,9 +89,9 @@ class Stage:
         return out
 
     def run(self, spark: SparkSession, cfg: Config) -> dict:
-        began, kept = time.time(), []
+        began, kept, new = time.time(), [], {}
         try:
-            inputs = self.read(spark, cfg)
+            inputs = self.read(spark, cfg, new)
             outputs = {k: v.persist() for k, v in self.transform(spark, cfg, inputs).items()}
             kept = list(outputs.values())
             for name, df in outputs.items():
@@ -97,13 +102,15 @@ class Stage:
                         raise ValueError(f"{name} is empty")
                     log.warning("%s is empty", name)
             said = self.metrics(cfg, outputs).first().asDict() if self.metrics else {}
+            for k, v in said.items():
+                if v is True or k.startswith("null_") and v:
+                    log.warning("%s: %s is %s", self.name, k, v)
             for name, df in outputs.items():
                 d = tables.REGISTRY[name]
                 sinks.write_parquet(df.select(*d.schema.fieldNames()), cfg.path(name), d.partition_by)
             if self.incremental:
-                for name, df in inputs.items():
-                    if tables.REGISTRY[name].partition_by:
-                        scans.mark_processed(df, tables.REGISTRY[name].partition_by[0], f"{cfg.root}/_ledger", self.name, name, cfg.at())
+                for name, partitions in new.items():
+                    scans.mark_partitions(spark, partitions, f"{cfg.root}/_ledger", self.name, name, cfg.at())
             result = {"stage": self.name, "status": "done", "metrics": said}
         except StageSkip as e:
             result = {"stage": self.name, "status": "skipped", "metrics": {}, "why": str(e)}
@@ -115,6 +122,10 @@ class Stage:
         return result
 
 
+#: The services' options that hold keys, with the variables of the environment that they come from.
+KEYS = {"adzuna": {"app_id": "ADZUNA_APP_ID", "app_key": "ADZUNA_API_KEY"}, "usajobs": {"app_key": "USAJOBS_API_KEY"}}
+
+
 def bronze(spark: SparkSession, cfg: Config, options: dict | None = None) -> int:
     """Pages of the service as JSON lines under their date, source and run, and a row in the table of runs."""
     if cfg.service == "adzuna" and not (cfg.country or "").strip():
@@ -122,7 +133,7 @@ def bronze(spark: SparkSession, cfg: Config, options: dict | None = None) -> int
     spark.dataSource.register(http.PostingsSource)
     asked = {
         "service": cfg.service, "query": cfg.query, "country": cfg.country, "location": cfg.location, "max_pages": cfg.max_pages,
-        "min_interval_seconds": cfg.min_interval_seconds,
+        "min_interval_seconds": cfg.min_interval_seconds, **{k: os.environ.get(v) for k, v in KEYS.get(cfg.service, {}).items()},
     } | (options or {})
     raw = spark.read.format("postings").options(**{k: str(v) for k, v in asked.items() if v is not None}).load()
     started = cfg.run_ts.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")

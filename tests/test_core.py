@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import os
 from datetime import UTC, datetime
 
 import pytest
@@ -136,3 +138,40 @@ def test_scans_and_sinks(spark, tmp_path):
     assert [str(r[0]) for r in scans.list_partitions(back, "ingestion_date").collect()] == ["2024-01-01", "2024-01-02"]
     assert scans.read_ledger(spark, f"{p}/none").count() == 0
     assert scans.scan_window(df, None, datetime(2024, 1, 1), 3) is df
+
+
+def test_late_files_and_pruned_dates(spark, tmp_path):
+    path, ledger = f"file://{tmp_path}/in", f"file://{tmp_path}/ledger"
+    rows = [(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 2))]
+    spark.createDataFrame(rows, "id int, day date").write.partitionBy("day").parquet(path)
+    new = lambda: scans.new_partitions(spark, path, "day", scans.read_ledger(spark, ledger), "silver", "in")
+    first = new()
+    assert set(first) == {"2024-01-01", "2024-01-02"}
+    scans.mark_partitions(spark, first, ledger, "silver", "in", F.lit("2024-02-01"))
+    assert new() == {} and set(scans.new_partitions(spark, path, "day", scans.read_ledger(spark, ledger), "gold", "in")) == set(first)
+    spark.createDataFrame([(3, rows[0][1])], "id int, day date").write.mode("append").partitionBy("day").parquet(path)
+    late = new()
+    df = scans.scan_dates(spark.read.parquet(path), "day", late)
+    assert set(late) == {"2024-01-01"} and sorted(r["id"] for r in df.collect()) == [1, 3]
+    assert "PartitionFilters: [" in df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert scans.scan_dates(spark.read.parquet(path), "day", {}).count() == 0
+
+
+def test_keys_come_from_the_environment(monkeypatch):
+    monkeypatch.setenv("ADZUNA_APP_ID", "an id")
+    asked = {}
+    class Stop(Exception):
+        pass
+
+    class Reader:
+        def format(self, _):
+            return self
+
+        def options(self, **o):
+            asked.update(o)
+            raise Stop
+
+    fake = type("Session", (), {"read": Reader(), "dataSource": type("Sources", (), {"register": lambda *_: None})()})()
+    with pytest.raises(Stop):
+        stages.bronze(fake, stages.Config(root="x", country="gb"))
+    assert asked["app_id"] == "an id" and asked.get("app_key") == os.environ.get("ADZUNA_API_KEY")

@@ -48,6 +48,13 @@ def dim_skills(tagged: DataFrame) -> DataFrame:
     return out.withColumn("skill_id", X.surrogate_key(F.col("skills")))
 
 
+def latest_tags(tagged: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Of a posting that was met on several dates, the tags of the last one, so its facts do not stand twice."""
+    last = jobs.groupBy("source", "job_id").agg(F.max("ingestion_date").alias("ingestion_date"))
+    same = [tagged[c].eqNullSafe(last[c]) for c in ("source", "job_id", "ingestion_date")]
+    return tagged.join(last, same, "left_semi")
+
+
 def fact_job_skills(tagged: DataFrame, dim: DataFrame) -> DataFrame:
     """Natural to surrogate key. How the dimension travels is left to adaptive execution, which knows its size."""
     keep = [c for c in ("source", "job_id") if c in tagged.columns]

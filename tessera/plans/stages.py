@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import argparse
-import json
 import logging
 import os
 import time
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +16,8 @@ from pyspark.sql import types as T
 
 from tessera import tables
 from tessera.operators import clean, cluster, embed, quality, star
+from tessera.plans import logs
+from tessera.plans.settings import Config, load_config
 from tessera.session import create_session
 from tessera.sources import http, scans, sinks
 
@@ -28,37 +28,10 @@ class StageSkip(Exception):
     """Nothing to do: counts as success."""
 
 
-@dataclass(frozen=True)
-class Config:
-    """One environment. The run's time is the same in all its stages, so back-fills work."""
-
-    root: str
-    run_ts: datetime = field(default_factory=lambda: datetime.now(UTC))
-    run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
-    service: str = "adzuna"
-    query: str = "data engineer"
-    country: str | None = None
-    location: str | None = None
-    max_pages: int = 5
-    min_interval_seconds: float = 0.0
-    max_fact_ratio: float = 20.0
-    window_days: int = 30
-    min_clusters: int = 3
-    min_silhouette: float = 0.2
-    k_values: tuple[int, ...] = cluster.K_VALUES
-    dictionary: tuple[str, ...] | None = None
-    model_version: str = "v1"
-
-    def path(self, name: str) -> str:
-        return tables.REGISTRY[name].path(self.root)
-
-    def at(self):  # noqa: ANN201
-        return F.lit(self.run_ts.astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
-
-
 @dataclass(frozen=True)
 class Stage:
-    """read -> transform -> check -> write -> ledger. Outputs are computed once: persisted before the check, released after the write."""
+    """read -> transform -> check -> write -> ledger. Outputs are computed once: written to a folder beside the tables, checked and copied from
+    there, so no executor holds them and a lost one costs nothing."""
 
     name: str
     inputs: tuple[str, ...]
@@ -89,15 +62,19 @@ class Stage:
         return out
 
     def run(self, spark: SparkSession, cfg: Config) -> dict:
-        began, kept, new = time.time(), [], {}
+        with logs.bound(run_id=cfg.run_id, stage=self.name):
+            return self._run(spark, cfg)
+
+    def _run(self, spark: SparkSession, cfg: Config) -> dict:
+        began, new, staged = time.time(), {}, f"{cfg.root}/_staging/{self.name}-{cfg.run_id}"
         try:
-            inputs = self.read(spark, cfg, new)
-            outputs = {k: v.persist() for k, v in self.transform(spark, cfg, inputs).items()}
-            kept = list(outputs.values())
-            for name, df in outputs.items():
+            inputs, outputs = self.read(spark, cfg, new), {}
+            for name, df in self.transform(spark, cfg, inputs).items():
                 if wrong := quality.check_contract(df, tables.REGISTRY[name].schema):
                     raise ValueError(f"{name}: {'; '.join(wrong)}")
-                if df.isEmpty():
+                sinks.write_parquet(df, f"{staged}/{name}")
+                outputs[name] = spark.read.schema(df.schema).parquet(f"{staged}/{name}")
+                if outputs[name].isEmpty():
                     if name not in self.may_be_empty:
                         raise ValueError(f"{name} is empty")
                     log.warning("%s is empty", name)
@@ -115,10 +92,9 @@ class Stage:
         except StageSkip as e:
             result = {"stage": self.name, "status": "skipped", "metrics": {}, "why": str(e)}
         finally:
-            for df in kept:
-                df.unpersist()
+            sinks.remove(spark, staged)
         result["seconds"] = round(time.time() - began, 3)
-        log.info(json.dumps(result | {"run_id": cfg.run_id}, default=str))
+        log.info(result)
         return result
 
 
@@ -153,10 +129,11 @@ def _silver(spark: SparkSession, cfg: Config, x: dict[str, DataFrame]) -> dict[s
 
 def _gold(spark: SparkSession, cfg: Config, x: dict[str, DataFrame]) -> dict[str, DataFrame]:
     dim = star.dim_skills(x["silver_job_skills"])
+    tags = star.latest_tags(x["silver_job_skills"], x["silver_jobs"]) if cfg.latest_postings else x["silver_job_skills"]
     return {
         "gold_dim_jobs": star.dim_jobs(x["silver_jobs"]).select(*tables.DIM_JOBS.fieldNames()),
         "gold_dim_skills": dim.select(*tables.DIM_SKILLS.fieldNames()),
-        "gold_fact_job_skills": star.fact_job_skills(x["silver_job_skills"], dim).select(*tables.FACT.fieldNames()),
+        "gold_fact_job_skills": star.fact_job_skills(tags, dim).select(*tables.FACT.fieldNames()),
     }
 
 
@@ -206,18 +183,19 @@ def main(argv: list[str] | None = None) -> None:
     """bronze silver gold data-pipeline feature ml ml-pipeline"""
     p = argparse.ArgumentParser(prog="tessera")
     p.add_argument("command", choices=["bronze", "silver", "gold", "data-pipeline", "feature", "ml", "ml-pipeline"])
-    p.add_argument("--root", required=True)
-    p.add_argument("--execution-date", type=datetime.fromisoformat)
+    p.add_argument("--config", help="a TOML file: common keys, and a table env.<name> for each environment")
+    p.add_argument("--env")
+    p.add_argument("--root")
+    p.add_argument("--execution-date")
     p.add_argument("--query")
     p.add_argument("--country")
     p.add_argument("--location")
     p.add_argument("--master")
+    p.add_argument("--log-file")
     a = p.parse_args(argv)
-    given = {k: v for k, v in (("query", a.query), ("country", a.country), ("location", a.location)) if v}
-    if a.execution_date:
-        given["run_ts"] = a.execution_date if a.execution_date.tzinfo else a.execution_date.replace(tzinfo=UTC)
-    cfg, spark = Config(root=a.root, **given), create_session("tessera", a.master)
-    logging.basicConfig(level=logging.INFO, format="%(message)s")
+    cfg = load_config(a.config, a.env, root=a.root, run_ts=a.execution_date, query=a.query, country=a.country, location=a.location)
+    logs.configure(a.log_file)
+    spark = create_session("tessera", a.master)
     if a.command == "bronze":
         bronze(spark, cfg)
     elif a.command == "data-pipeline":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import math
 import time
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera import tables
 
+log = logging.getLogger("tessera.http")
+
 # The addresses and limits of the two public services.
 COUNTRIES = ("us", "gb", "de", "fr", "it", "nl", "ca", "au")
 ADZUNA_URL = "https://api.adzuna.com/v1/api/jobs"
@@ -90,6 +93,7 @@ def fetch_pages(service: Service, options: dict, get: Callable[[str, dict], dict
             throttle()
         data = get(*service.request(options, page))
         results = service.results(data)
+        log.info("%s: page %d has %d records", service.name, page, len(results))
         if not results:
             return
         if page == 1 and (total := service.total(data)):

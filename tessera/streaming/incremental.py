@@ -26,6 +26,6 @@ def append_new_files(spark: SparkSession, path: str, schema: T.StructType, check
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").outputMode("append").start(out).awaitTermination()
 
 
-def upsert_new_files(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str, out: str, keys: Sequence[str], order: Sequence[Column], max_files: int = 1000) -> None:
+def upsert_new_files(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str, out: str, keys: Sequence[str], order: Sequence[Column], max_files: int = 1000, buckets: int = 64) -> None:
     """The latest row of each key over all batches so far; a batch that is run again writes the same version again."""
-    process_new_files(spark, path, schema, checkpoint, lambda batch, n: upsert_parquet(batch, out, keys, order, f"{n:012d}"), max_files=max_files)
+    process_new_files(spark, path, schema, checkpoint, lambda batch, n: upsert_parquet(batch, out, keys, order, f"{n:012d}", buckets), max_files=max_files)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 from tessera.session import scratch_dir
@@ -34,15 +37,37 @@ def connected_components(nodes: DataFrame, links: DataFrame, key: str = "id") ->
         both.unpersist()
 
 
+#: Vectors of a block; two blocks, and the products of STRIP rows with one of them, are what a task holds.
+BLOCK, STRIP = 4096, 256
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
-    """Pairs (src < dst) whose cosine distance is at most eps. A dictionary is small; the blocks only spread the work."""
-    v = df.where(V.valid(F.col(vector))).select(F.col(key), V.normalize(V.doubles(F.col(vector))).alias("v"))
-    blocks = 8
-    a = v.select(F.col(key).alias("src"), F.col("v").alias("va"), (F.abs(F.hash(key)) % blocks).alias("i"))
-    a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = v.select(F.col(key).alias("dst"), F.col("v").alias("vb"), (F.abs(F.hash(key)) % blocks).alias("j"))
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return a.join(b, ["i", "j"]).where((F.col("src") < F.col("dst")) & (1 - V.dot(F.col("va"), F.col("vb")) <= eps)).select("src", "dst")
+    """Pairs (src < dst) whose cosine distance is at most eps, exactly, by matrix products of blocks. For dictionaries, whose size does not
+    follow that of the data: the products take time with the square of the number of vectors, each of which meets half of the blocks
+    once. Every vector's length must be the same; null, zero and non-finite ones are in no pair."""
+    v = df.where(V.valid(F.col(vector))).select(F.col(key).alias("id"), V.normalize(V.doubles(F.col(vector))).alias("v"))
+    blocks = max(1, -(-v.count() // BLOCK))
+    v = v.withColumn("own", F.pmod(F.hash("id"), F.lit(blocks)))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = v.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
+        a, b = block[block["own"] == i], block[block["own"] == j]
+        ids_a, ids_b, out = a["id"].to_numpy(), b["id"].to_numpy(), []
+        if len(a) and len(b):
+            xa, xb = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+            for at in range(0, len(a), STRIP):
+                r, c = np.nonzero(1 - xa[at : at + STRIP] @ xb.T <= eps)
+                s, d = ids_a[r + at], ids_b[c]
+                keep = s < d if i == j else s != d
+                s, d = s[keep], d[keep]
+                turn = s > d
+                out.append(pd.DataFrame({"src": np.where(turn, d, s), "dst": np.where(turn, s, d)}))
+        return pd.concat(out) if out else pd.DataFrame({"src": ids_a[:0], "dst": ids_b[:0]})
+
+    kind = v.schema["id"].dataType
+    return v.groupBy("i", "j").applyInPandas(meet, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
 
 
 def skill_synonyms(skills: DataFrame, eps: float = 0.3) -> DataFrame:

@@ -134,8 +134,9 @@ SELECT event_id, dedup_key FROM k QUALIFY row_number() OVER (PARTITION BY dedup_
 def dedup_hash_fallback(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").withColumn("job_id", F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("user_id").cast("string")))
     none = F.lit(None).cast("string")
-    key = X.fallback_key(F.col("event_type"), F.col("job_id"), F.col("props"), none, none, none)
-    return clean.latest_per_key(e.withColumn("dedup_key", key), ["dedup_key"], [F.desc_nulls_last("ts"), F.asc("event_id")]).select("event_id", "dedup_key")
+    parts = {"source": F.col("event_type"), "job_id": F.col("job_id"), "job_title": F.col("props"), "company": none, "location": none, "url": none}
+    kept = clean.robust_deduplicate_jobs(e.select("event_id", *(c.alias(n) for n, c in parts.items()), F.col("ts").alias("ingested_at")))
+    return kept.select("event_id", X.fallback_key(*(F.col(c) for c in parts)).alias("dedup_key"))
 
 
 @query(f"""SELECT doc_id, (SELECT string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+')) w) x
@@ -288,13 +289,30 @@ def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, source, upper(lang) AS place FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'usajobs' ELSE 'adzuna' END source, 'T' || lang job_title_raw, source company_raw, upper(lang) location_raw,
+sha256(text) description_raw, 'http://x/' || doc_id url, 'full' employment_type_raw, CASE WHEN doc_id % 2 = 1 THEN 'permanent' END contract_type_raw,
+CASE WHEN doc_id % 4 <> 2 THEN doc_id + 0.5::double END salary_min_raw, CASE WHEN doc_id % 4 <> 2 THEN doc_id + 1.5::double END salary_max_raw,
+CASE WHEN doc_id % 2 = 0 THEN 'USD' END currency_raw, '2024-01-20T00:00:00' posted_at_raw, '2024-01-01T00:00:00.000000' ingested_at FROM documents""")
 def normalize_records(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    raw = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.struct(F.upper("lang").alias("display_name")).alias("location")))
-    env = http.envelope(d.select("source", raw.alias("raw_payload")), "r1", "q", None, "2024-01-01T00:00:00.000000")
-    flat = clean.flatten_envelope(env)
-    return flat.select(F.col("source_job_id").cast("long").alias("doc_id"), "source", F.col("location_raw").alias("place"))
+    """Records of both services, every second usajobs record without pay."""
+    d, created, full = table(spark, sf, "documents"), F.lit("2024-01-20T00:00:00"), F.lit("full")
+    id_, title, url = F.col("doc_id").cast("string"), F.concat(F.lit("T"), "lang"), F.concat(F.lit("http://x/"), "doc_id")
+    low, high, name = F.col("doc_id") + F.lit(0.5).cast("double"), F.col("doc_id") + F.lit(1.5).cast("double"), "display_name"
+    a = {
+        "id": id_, "title": title, "company": F.struct(F.col("source").alias(name)), "redirect_url": url, "location": F.struct(F.upper("lang").alias(name)),
+        "description": F.col("text"), "contract_time": full, "contract_type": F.lit("permanent"), "salary_min": low, "salary_max": high, "created": created,
+    }
+    pay = F.filter(F.array(F.struct(low.alias("MinimumRange"), high.alias("MaximumRange"))), lambda _: F.col("doc_id") % 4 != 2)
+    u = {
+        "PositionID": id_, "PositionTitle": title, "OrganizationName": F.col("source"), "PositionLocationDisplay": F.upper("lang"), "PositionURI": url,
+        "UserArea": F.struct(F.struct(F.col("text").alias("JobSummary")).alias("Details")), "PositionSchedule": F.array(F.struct(full.alias("Name"))),
+        "PositionRemuneration": pay, "PublicationStartDate": created,
+    }
+    record = lambda fields: F.struct(*(c.alias(n) for n, c in fields.items()))
+    of_u, usa = F.to_json(F.struct(record(u).alias("MatchedObjectDescriptor"))), F.col("doc_id") % 2 == 0
+    raw = d.select(F.when(usa, "usajobs").otherwise("adzuna").alias("source"), F.when(usa, of_u).otherwise(F.to_json(record(a))).alias("raw_payload"))
+    flat = clean.flatten_envelope(http.envelope(raw, "r1", "q", None, "2024-01-01T00:00:00.000000"))
+    return flat.withColumns({"doc_id": F.col("source_job_id").cast("long"), "description_raw": F.sha2("description_raw", 256)}).drop("source_job_id")
 
 
 @query("""SELECT vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 9)) v FROM embeddings""")
@@ -313,10 +331,13 @@ def valid_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH p AS (SELECT user_id, value w, unnest(embedding) x, generate_subscripts(embedding, 1) - 1 pos FROM events JOIN embeddings ON event_id % 500 = vec_id)
 SELECT user_id AS job_id, pos::int pos, round(sum(w * x::double) / sum(w), 6) m, count(*) skill_count FROM p GROUP BY 1, 2""")
 def job_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return _job_embeddings(spark, sf).select("job_id", F.posexplode("embedding").alias("pos", "m"), "skill_count").withColumn("m", F.round("m", 6))
+
+
+def _job_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), (F.col("event_id") % 500).alias("skill_id"), F.col("value").alias("skill_confidence"))
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("skill_id"), V.doubles(F.col("embedding")).alias("embedding"), F.lit(True).alias("is_active"), F.lit("v1").alias("model_version"))
-    out = embed.job_embeddings(e, v, "v1")
-    return out.select("job_id", F.posexplode("embedding").alias("pos", "m"), "skill_count").withColumn("m", F.round("m", 6))
+    return embed.job_embeddings(e, v, "v1")
 
 
 @query("""SELECT sha256(w) skill_id, w skills, 384 embedding_dim, 'hashed-ngrams' model_name, TRUE is_active, 1.0::double norm
@@ -374,15 +395,28 @@ def model_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return _clusters(spark, sf)["ml_job_cluster_metadata"]
 
 
+@query("SELECT vec_id AS job_id, TRUE AS nearest, TRUE AS distance_right FROM embeddings")
+def cluster_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector against all centres, which are a few rows: whether its own is the nearest, and its distance the one that was told."""
+    c = _clusters(spark, sf)
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), V.normalize(V.doubles(F.col("embedding"))).alias("v"))
+    centres = F.broadcast(c["ml_job_centroids"].agg(F.collect_list(F.struct("cluster_id", "centroid_vector")).alias("centres")))
+    far = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    all_ = v.join(c["ml_job_membership"], "job_id").join(centres)  # one row
+    own = F.filter("centres", lambda s: s["cluster_id"] == F.col("cluster_id"))[0]["centroid_vector"]
+    least = F.array_min(F.transform("centres", lambda s: far(F.col("v"), s["centroid_vector"])))
+    return all_.select("job_id", (far(F.col("v"), own) <= least + 1e-9).alias("nearest"), (F.abs(1 - V.dot(F.col("v"), own) - F.col("distance_to_centroid")) < 1e-9).alias("distance_right"))
+
+
 @query()
 def ml_metrics(spark: SparkSession, sf: str) -> DataFrame:
     c = _clusters(spark, sf)
     return quality.ml_metrics(c["ml_job_membership"], c["ml_job_cluster_metadata"])
 
 
-@query(f"WITH {TAGGED} SELECT count(DISTINCT job_id) jobs_embedded, count(*) = 0 none_embedded FROM tagged")
+@query("SELECT count(DISTINCT user_id) jobs_embedded, count(*) = 0 none_embedded FROM events JOIN embeddings ON event_id % 500 = vec_id")
 def feature_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.feature_metrics(tagged(spark, sf).select("job_id").distinct())
+    return quality.feature_metrics(_job_embeddings(spark, sf))
 
 
 @query("""WITH RECURSIVE n AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) v FROM embeddings),
@@ -394,10 +428,15 @@ def skill_components(spark: SparkSession, sf: str) -> DataFrame:
     return components.connected_components(e.select("position"), components.similar_pairs(e, "position", "embedding", 0.5), "position")
 
 
-@query()
+@query(f"""{SQL["skill_components"].removesuffix('SELECT id AS "position", min(c) component FROM r GROUP BY 1')},
+parts AS (SELECT id, min(c) component FROM r GROUP BY 1),
+means AS (SELECT component, pos, avg(x) m FROM (SELECT component, unnest(v) x, generate_subscripts(v, 1) pos FROM parts JOIN n ON id = vec_id) GROUP BY 1, 2),
+vectors AS (SELECT component, list(round(m, 6) ORDER BY pos) embedding FROM means GROUP BY 1),
+names AS (SELECT component, 's' || list(id ORDER BY length(id::varchar), id)[1] canonical, list('S' || id ORDER BY id) aliases FROM parts GROUP BY 1)
+SELECT component, canonical, aliases, embedding FROM names JOIN vectors USING (component)""")
 def skill_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("position"), F.concat(F.lit("S"), F.col("vec_id")).alias("skills"), "embedding")
-    return components.skill_synonyms(e, 0.5)
+    return components.skill_synonyms(e, 0.5).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 6)))
 
 
 @query("SELECT event_id, user_id, value FROM events")
@@ -418,8 +457,8 @@ def stream_dedup_upsert(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
     e.repartition(3, "event_id").write.parquet(f"{root}/in")
     order = [F.desc_nulls_last("ts"), F.asc("event_id")]
-    incremental.upsert_new_files(spark, f"{root}/in", e.schema, f"{root}/state", f"{root}/out", ["user_id", "event_type"], order, max_files=1)
-    return spark.read.parquet(f"{root}/out").where(F.col("version") == spark.read.parquet(f"{root}/out").agg(F.max("version")).first()[0]).drop("version")
+    incremental.upsert_new_files(spark, f"{root}/in", e.schema, f"{root}/state", f"{root}/out", ["user_id", "event_type"], order, max_files=1, buckets=8)
+    return sinks.read_upserted(spark, f"{root}/out")
 
 
 @query(f"WITH {TAGGED} SELECT source, job_id, sha256(skills) skill_id, skill_confidence, ingestion_date FROM tagged")

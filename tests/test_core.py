@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
 import os
 from datetime import UTC, datetime
 
@@ -14,7 +15,7 @@ from tessera.functions import skills as S
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import clean, cluster, components, embed, quality, star
-from tessera.plans import stages
+from tessera.plans import logs, settings, stages
 from tessera.sources import http, scans, sinks
 
 
@@ -175,3 +176,65 @@ def test_keys_come_from_the_environment(monkeypatch):
     with pytest.raises(Stop):
         stages.bronze(fake, stages.Config(root="x", country="gb"))
     assert asked["app_id"] == "an id" and asked.get("app_key") == os.environ.get("ADZUNA_API_KEY")
+
+
+def test_postings_of_two_dates_have_facts_once(spark):
+    jobs = spark.createDataFrame([("a", "1", dt.date(2024, 1, 1)), ("a", "1", dt.date(2024, 1, 2)), ("a", "2", dt.date(2024, 1, 1))], "source string, job_id string, ingestion_date date")
+    tags = jobs.crossJoin(spark.createDataFrame([("sql",)], "skills string"))
+    got = sorted((r["job_id"], str(r["ingestion_date"])) for r in star.latest_tags(tags, jobs).collect())
+    assert got == [("1", "2024-01-02"), ("2", "2024-01-01")]
+
+
+def test_upsert_touches_few_buckets(spark, tmp_path):
+    out, order = f"file://{tmp_path}/u", [F.desc_nulls_last("at")]
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, at long")
+    sinks.upsert_parquet(rows(*((i, 1) for i in range(50))), out, ["id"], order, "1", 8)
+    for _ in range(2):  # a version that is run again leaves what it left before
+        folder = sinks.upsert_parquet(rows((7, 2), (7, 0)), out, ["id"], order, "2", 8)
+        assert len(sinks._names(spark, folder)) == 2  # one bucket and the mark of success
+        assert sorted(map(tuple, sinks.read_upserted(spark, out).collect())) == sorted((i, 2 if i == 7 else 1) for i in range(50))
+    sinks.upsert_parquet(rows(), out, ["id"], order, "3", 8)
+    assert sinks.read_upserted(spark, out).count() == 50
+    with pytest.raises(ValueError):
+        sinks.upsert_parquet(rows((1, 1)), out, ["id"], order, "4", 16)
+    with pytest.raises(FileNotFoundError):
+        sinks.read_upserted(spark, f"{out}/none")
+
+
+def test_pairs_are_those_of_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    df = spark.createDataFrame([(f"k{i}", [float(c) for c in v]) for i, v in enumerate(x)] + [("none", None), ("zero", [0.0] * 4)], "id string, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {tuple(sorted((f"k{i}", f"k{j}"))) for i in range(60) for j in range(i) if 1 - u[i] @ u[j] <= 0.3}
+    for block in (4096, 9):
+        monkeypatch.setattr(components, "BLOCK", block)
+        got = [tuple(r) for r in components.similar_pairs(df, "id", "v", 0.3).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_configuration_in_layers(tmp_path):
+    file = tmp_path / "c.toml"
+    file.write_text('query = "common"\nk_values = [2, 3]\n[env.dev]\nroot = "/dev-root"\nwindow_days = 7\n[env.prod]\nroot = "/prod"\n')
+    cfg = settings.load_config(str(file), "dev", {"TESSERA_WINDOW_DAYS": "9", "TESSERA_LATEST_POSTINGS": "false"}, query=None, country="us", run_ts="2024-02-01")
+    assert (cfg.root, cfg.window_days, cfg.query, cfg.country, cfg.k_values, cfg.latest_postings) == ("/dev-root", 9, "common", "us", (2, 3), False)
+    assert cfg.run_ts == datetime(2024, 2, 1, tzinfo=UTC) and settings.load_config(str(file), "prod", {}).root == "/prod"
+    for wrong in ({"env": "none"}, {"env": "dev", "colour": "red"}, {"env": "dev", "max_pages": "many"}, {}):
+        with pytest.raises(ValueError):
+            settings.load_config(str(file), wrong.pop("env", None), {}, **wrong)
+
+
+def test_logs_carry_run_and_stage(tmp_path):
+    file = tmp_path / "log"
+    logs.configure(str(file), max_bytes=400, files=2)
+    try:
+        with logs.bound(run_id="r1", stage="silver"):
+            for i in range(9):
+                logging.getLogger("tessera").warning("%s rows", i)
+            logging.getLogger("tessera.http").info({"status": "done"})
+    finally:
+        logs.configure()
+    last = [json.loads(line) for line in file.read_text().splitlines()]
+    assert last[-1]["status"] == "done" and all(r["run_id"] == "r1" and r["stage"] == "silver" for r in last)
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["log", "log.1", "log.2"]

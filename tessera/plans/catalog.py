@@ -425,7 +425,7 @@ r(id, c) AS (SELECT vec_id, vec_id FROM n UNION SELECT r.id, pairs.b FROM r JOIN
 SELECT id AS "position", min(c) component FROM r GROUP BY 1""")
 def skill_components(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("position"), "embedding")
-    return components.connected_components(e.select("position"), components.similar_pairs(e, "position", "embedding", 0.5), "position")
+    return components.similar_components(e, "position", "embedding", 0.5)
 
 
 @query(f"""{SQL["skill_components"].removesuffix('SELECT id AS "position", min(c) component FROM r GROUP BY 1')},

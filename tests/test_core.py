@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import logging
 import os
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -214,6 +215,17 @@ def test_pairs_are_those_of_brute_force(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_components_of_chains(spark):
+    n = 3000
+    order = random.Random(3).sample(range(n), n)
+    chain = [*zip(order, order[1:], strict=False), (n, n + 1), (0, 9999), (9999, n + 1), (5, 5), (None, n)]
+    nodes = spark.createDataFrame([(i,) for i in range(n + 3)], "k long")
+    got = components.connected_components(nodes, spark.createDataFrame(chain, "src long, dst long"), "k")
+    assert dict(got.collect()) == dict.fromkeys(range(n), 0) | {n: n, n + 1: n, n + 2: n + 2}
+    size = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 10**9  # an estimate that is a product of those of all rounds fills the driver
+
+
 def test_configuration_in_layers(tmp_path):
     file = tmp_path / "c.toml"
     file.write_text('query = "common"\nk_values = [2, 3]\n[env.dev]\nroot = "/dev-root"\nwindow_days = 7\n[env.prod]\nroot = "/prod"\n')

@@ -157,7 +157,7 @@ def similar_components(df: DataFrame, key: str, vector: str, eps: float) -> Data
 def skill_synonyms(skills: DataFrame, eps: float = 0.3) -> DataFrame:
     """Density clusters with one member at least, so: components of the graph of skills (position, skills, embedding) within eps.
     Each gives its shortest name (the first of them on a tie) in lower case, the mean vector and the aliases in order."""
-    parts = connected_components(skills.select("position"), similar_pairs(skills, "position", "embedding", eps), "position")
+    parts = similar_components(skills, "position", "embedding", eps)
     all_ = skills.join(parts, "position")
     names = all_.groupBy("component").agg(
         F.lower(F.min(F.struct(F.length("skills"), "position", "skills"))["skills"]).alias("canonical"),

@@ -226,6 +226,29 @@ def test_components_of_chains(spark):
     assert size < 10**9  # an estimate that is a product of those of all rounds fills the driver
 
 
+def test_similar_groups_make_few_links(spark, monkeypatch):
+    import numpy as np
+
+    rng, made, connect = np.random.default_rng(6), [], components.connected_components
+    x = np.concatenate([rng.normal(size=(40, 6)), rng.normal(size=(1, 6)) + 0.01 * rng.normal(size=(60, 6)), np.repeat(rng.normal(size=(2, 6)), 50, axis=0)])
+    x = x.astype("f4").astype("f8")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link, want = 1 - u @ u.T <= 0.2, np.arange(200)
+    while (least := np.where(link, want, 200).min(axis=1)).tolist() != want.tolist():
+        want = least
+    odd = [(300, None), (301, [0.0] * 6), (302, [0.0] * 6), (303, [float("inf")] * 6), (304, [float("inf")] * 6), (None, u[0].tolist()), (0, u[0].tolist())]
+    rows = [(i, v) for i, v in zip(range(200), x.tolist(), strict=True)] + odd
+    monkeypatch.setattr(components, "connected_components", lambda nodes, links, key: made.append(links.count()) or connect(nodes, links, key))
+    for kind in ("float", "double"):
+        for block in (4096, 64):
+            monkeypatch.setattr(components, "BLOCK", block)
+            df = spark.createDataFrame(rows, f"position long, embedding array<{kind}>").withColumn("skills", F.concat(F.lit("S"), "position")).where("position IS NOT NULL")
+            groups = components.skill_synonyms(df, 0.2).collect()
+            got = {int(a[1:]): g["component"] for g in groups for a in g["aliases"]}
+            assert got == dict(enumerate(want.tolist())) | {i: i for i in range(300, 305)}
+    assert max(made) < 700 < int(link.sum() - 200) // 2  # a task's links are fewer than its vectors
+
+
 def test_configuration_in_layers(tmp_path):
     file = tmp_path / "c.toml"
     file.write_text('query = "common"\nk_values = [2, 3]\n[env.dev]\nroot = "/dev-root"\nwindow_days = 7\n[env.prod]\nroot = "/prod"\n')
